@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +38,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic block naming over all documents."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
+
+
+@query()
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of 4-word shingles, multi-index hashing, links of at most 4 bits, over all documents."""
+    return simhash.near_dedup(table(spark, sf_dir, "documents"), width=4)
+
+
+_POSITION = """CASE slot
+    WHEN 0 THEN CASE WHEN {s} * 1.0 <= 0.625 THEN 0.0 + 2.0 * ({s} * 1.0 - 0.0) / (1.5 + sqrt(greatest(2.25 + -2.0 * ({s} * 1.0 - 0.0), 0.0)))
+                     ELSE 0.5 + 2.0 * ({s} * 1.0 - 0.625) / (1.0 + sqrt(greatest(1.0 + -2.0 * ({s} * 1.0 - 0.625), 0.0))) END
+    WHEN 1 THEN 2.0 * {s} / 2.0
+    ELSE CASE WHEN {s} * 1.0 <= 0.3125 THEN 0.0 + 2.0 * ({s} * 1.0 - 0.0) / (0.25 + sqrt(greatest(0.0625 + 3.0 * ({s} * 1.0 - 0.0), 0.0)))
+              ELSE 0.5 + 2.0 * ({s} * 1.0 - 0.3125) / (1.0 + sqrt(greatest(1.0 + 3.0 * ({s} * 1.0 - 0.3125), 0.0))) END END"""
+
+
+@query(
+    rf"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+    w AS (SELECT *, r % 3 AS slot, CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM per),
+    f AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(weight) OVER o, 0) AS weights, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight
+          FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, slot, source_size, least(cap::DOUBLE, max((1.5::DOUBLE * all_size - caps) / (all_weight - weights)) OVER () * weight) AS target FROM f),
+    x AS (SELECT doc_id, size, source_size, target, slot, floor(target + 0.5)::BIGINT AS demand,
+            (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    y AS (SELECT *, least(greatest(demand - before, 0), size) AS firsts, least(greatest(demand - before - source_size, 0), size) AS agains, before / greatest(demand, 1)::DOUBLE AS share FROM x)
+    SELECT doc_id, size, source_size, target, firsts + agains AS taken, CASE WHEN firsts > 0 THEN round({_POSITION.format(s="share")}, 6) END AS first_position FROM y
+    """
+)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time-varying curriculum over all documents, sources at 3, 1, 2."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.assign(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round(F.col("positions")[0], 6).alias("first_position"))
