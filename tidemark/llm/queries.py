@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, simhash
+from tidemark.llm import exact_dedup, mixing, packing, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,3 +81,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-varying curriculum over all documents, sources at 3, 1, 2."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"))
     return mixing.assign(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round(F.col("positions")[0], 6).alias("first_position"))
+
+
+@query()
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents with Elias-Fano boundaries, written and read back."""
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return token_files.read_token_files(manifest, token_files.crc_of, pa.int64()).withColumnRenamed("value", "ids_crc32")
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimum bin slack packing of all documents into sequences of 1024 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
