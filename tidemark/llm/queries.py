@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, simhash, token_files
+from tidemark.llm import exact_dedup, mixing, packing, simhash, substrings, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum bin slack packing of all documents into sequences of 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword-bag toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.with_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 35 words or more removed from all documents."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
