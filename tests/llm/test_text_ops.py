@@ -48,13 +48,13 @@ def test_cover_aligns_any_two_positions(i, j):
 
 
 def test_toxicity_held_out(spark):
-    base = "/root/testdata/sf0.01"
+    base = "/root/testdata/sf0.1"  # 2,650 labelled rows to learn from; the smaller tables have too few
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     model = toxicity.fit(docs, labels)
     rows = toxicity.with_scores(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").select("score", "toxic").collect()
     good, bad = [r[0] for r in rows if r[1]], [r[0] for r in rows if not r[1]]
     wins = sum((g > b) + (g == b) / 2 for g in good for b in bad)
-    assert wins / (len(good) * len(bad)) > 0.9
+    assert wins / (len(good) * len(bad)) > 0.97
     known = {}
     assert toxicity.score("you stuupid idiott", known, *model) > toxicity.score("the of and with", known, *model)
 

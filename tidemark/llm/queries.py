@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, simhash, substrings, token_files, toxicity
+from tidemark.llm import exact_dedup, mixing, neighbours, packing, simhash, substrings, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 35 words or more removed from all documents."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest by cosine of every 50th embedding, by cross-polytope hashing."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written into ZIP packages and read back by range."""
+    return warc.read_packages(warc.write_packages(table(spark, sf_dir, "pages"))).drop("url")
