@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, neighbours, packing, simhash, substrings, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, simhash, substrings, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +121,9 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of all pages, written into ZIP packages and read back by range."""
     return warc.read_packages(warc.write_packages(table(spark, sf_dir, "pages"))).drop("url")
+
+
+@query()
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages by minimum-cut labelling."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
