@@ -44,13 +44,17 @@ def category_counts(df: DataFrame, features: list[str], is_reference: Column | N
     return rows.groupBy("feature", "v").agg(F.count_if("ref").alias("n_ref"), F.count_if(~F.col("ref")).alias("n_prod"))
 
 
-def ks_p_value(d: Column, n: Column, m: Column) -> Column:
-    """The asymptotic two-sided p-value of a two-sample KS distance; 1 for small arguments, where the series is no use."""
-    x = d * F.sqrt(n.cast("double") * m / (n + m))
+def kolmogorov(x: Column) -> Column:
+    """The upper tail of Kolmogorov's distribution; 1 for small arguments, where the series is no use."""
     series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(F.lit(-2.0) * k * k * x * x))
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
+def ks_p_value(d: Column, n: Column, m: Column) -> Column:
+    """The asymptotic two-sided p-value of a two-sample KS distance."""
+    return kolmogorov(d * F.sqrt(n.cast("double") * m / (n + m)))
+
+
 def ks(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``feature, kind, n_ref, n_prod, statistic, p_value, drift_detected`` by the two-sample KS test.
 
@@ -103,3 +107,8 @@ def frequencies(counts: DataFrame) -> DataFrame:
     """``feature, value, n, share`` of the reference side."""
     whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"))
     return counts.where("n_ref > 0").join(whole, "feature").select("feature", F.col("v").alias("value"), F.col("n_ref").alias("n"), (F.col("n_ref") / F.col("all_ref")).alias("share"))
+
+
+def allowed_sets(counts: DataFrame) -> DataFrame:
+    """``feature, allowed``: the categories of the reference side, in order."""
+    return counts.where("n_ref > 0").groupBy("feature").agg(F.sort_array(F.collect_set("v")).alias("allowed"))

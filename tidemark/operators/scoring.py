@@ -46,3 +46,9 @@ def confusion(pairs: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     ratio = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+
+
+def flattened(logs: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
+    """``logs`` with the given keys of a JSON object as text columns in place of it; null where they are missing."""
+    parsed = F.from_json(json_col, "map<string,string>")
+    return logs.select(*[c for c in logs.columns if c != json_col], *[parsed.getItem(k).alias(k) for k in keys])
