@@ -76,6 +76,7 @@ def assign(
     base = sizes.withColumn("no_source", F.col("source").isNull()).withColumn("src", F.coalesce("source", F.lit("")))
     base = base.withColumn("size", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long"))
     base = base.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    base = saved(base, "sizes")  # words are counted once; the range sort and the targets read numbers
     rows = running(base, ["no_source", "src"], ["key", "id", "size"], {"before": "size"})
     rows = rows.join(saved(targets(base.select("no_source", "src", "size"), weights, budget, most), "targets"), ["no_source", "src"])
     demand = F.floor(F.col("target") + 0.5)
