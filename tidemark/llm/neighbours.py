@@ -8,6 +8,10 @@ the rotated coordinates, those that it misses most narrowly. Whatever is found i
 Scale: equal vectors share one row with their smallest ids (``k + 1``, all that can ever be among the nearest), so a group of
 copies is one candidate. Vectors meet queries inside one join on (table, bucket); scores are ranked within the tasks
 before a shuffle, ``k`` rows a query. Queries that find fewer than ``k`` neighbours are compared with all rows.
+
+Recall: a bounded sample of the queries is first compared with all rows, a block of rows in a task at a time. The number of
+probes is doubled until the sample's true neighbours are found at the wanted share, whatever the size of the
+table; if the buckets would then hold about as many rows as the table, all rows are compared.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.scratch import saved
 
 TABLES, PROBES, PER_BUCKET = 14, 18, 48
+#: Share of the sampled queries' true neighbours that the buckets must hold, and how many queries are sampled.
+RECALL, SAMPLE = 0.95, 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -96,6 +102,52 @@ def keyed(vectors: DataFrame, width: int, shape: list[int], tables: int, probes:
     return vectors.mapInArrow(of, fields + ", keys array<bigint>").select(*names, F.explode("keys").alias("key"))
 
 
+def nearest(vectors: DataFrame, asked: np.ndarray, most: int) -> np.ndarray:
+    """For each row of ``asked`` (unit vectors) its ``most`` nearest of all ``vectors(low, unit)``: an array of unit vectors.
+
+    A task multiplies block by block and keeps the best; the driver gets ``most`` rows a query and task.
+    """
+
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, kept = np.full((len(asked), 0), 0.0), np.zeros((len(asked), 0, asked.shape[1]))
+        for part in parts:
+            for k in range(0, part.num_rows, 1024):
+                x = part.slice(k, 1024).column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, asked.shape[1])
+                here = asked @ x.T
+                top = np.argsort(-here, axis=1, kind="stable")[:, :most]
+                score = np.concatenate([score, np.take_along_axis(here, top, 1)], axis=1)
+                kept = np.concatenate([kept, x[top]], axis=1)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                score, kept = np.take_along_axis(score, best, 1), np.take_along_axis(kept, best[:, :, None], 1)
+        if score.shape[1]:
+            n, m = score.shape
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), m)), pa.array(score.ravel()), pa.array(list(kept.reshape(n * m, -1)), pa.list_(pa.float64()))], ["q", "score", "unit"])
+
+    found = vectors.select("unit").mapInArrow(of, "q long, score double, unit array<double>")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))
+    rows = found.withColumn("place", place).where(F.col("place") <= most).orderBy("q", "place").select("unit").collect()
+    return np.array([r[0] for r in rows]).reshape(len(asked), -1, asked.shape[1])
+
+
+def probes_for(asked: np.ndarray, near: np.ndarray, rows: int, shape: list[int], tables: int, probes: int, per_bucket: int, seed: int, recall: float) -> int | None:
+    """The least number of probes, doubled from ``probes``, at which a bucket of the query holds ``recall`` of its ``near``.
+
+    None if that many buckets hold about as many rows as there are, so that all rows cost no more.
+    """
+    pad = (1 << max(0, asked.shape[1] - 1).bit_length()) - asked.shape[1]
+    wide = lambda x: np.pad(x, ((0, 0), (0, pad)))
+    homes = buckets(wide(near.reshape(-1, near.shape[2])), shape, tables, 1, seed).reshape(*near.shape[:2], tables, 1)
+    total = int(np.prod([2.0 * take for take in shape]))
+    while tables * probes * per_bucket < rows:
+        ways = buckets(wide(asked), shape, tables, probes, seed)[:, None]
+        if (ways == homes).any(axis=(2, 3)).mean() >= recall:
+            return probes
+        if probes >= total:
+            break
+        probes *= 2
+    return None
+
+
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -107,14 +159,14 @@ def _ranked(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def search(
-    rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tables: int = TABLES, probes: int = PROBES, seed: int = 11, per_bucket: int = PER_BUCKET
+    rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tables: int = TABLES, probes: int = PROBES, seed: int = 11, per_bucket: int = PER_BUCKET, recall: float = RECALL
 ) -> DataFrame:
     """``query_id, rank, <id>, score``: the ``k`` nearest found of every row for which ``is_query`` holds.
 
     Null and zero vectors and those with null or non-finite components take no part, nor do rows with a null id; nor
     vectors whose width isn't the most frequent (the smaller of equals). Ties go to the smaller id. Rows with one id
     are one candidate each and one query if equal; a query's own id is never its neighbour. An empty table gives an
-    empty result.
+    empty result. ``probes`` is the least number of buckets a table; more are taken until ``recall`` is reached.
     """
     vec = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     base = rows.select(F.col(id_col).alias("id"), vec.alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -134,11 +186,19 @@ def search(
     distinct = distinct.where(F.col("width") == width)
     asked = saved(base.where("q").select(F.col("id").alias("query_id"), "v").distinct().join(distinct.select("v", "vid"), "v").select("query_id", F.col("vid").alias("qv")), "queries")
     shape = shape_for(n, width, per_bucket)
-    right = keyed(distinct.select("vid", "low", "v", "norm", "unit"), width, shape, tables, 1, seed).select("key", "vid", "low", "v", "norm")
     asking = distinct.join(asked.select(F.col("qv").alias("vid")).distinct(), "vid", "left_semi").select("vid", "v", "norm", "unit")
-    left = keyed(asking, width, shape, tables, probes, seed).select("key", F.col("vid").alias("qv"), F.col("v").alias("w"), F.col("norm").alias("qn"))
     score = (_dot("w", "v") / (F.col("qn") * F.col("norm"))).alias("score")
-    found = saved(_ranked(left.join(right, "key").select("qv", "vid", "low", score), k + 1), "found")
+    trial = [r[0] for r in asking.orderBy(F.xxhash64(F.lit(seed), "v"), "vid").limit(SAMPLE).select("unit").collect()]
+    if trial:
+        trial = np.array(trial)
+        probes = probes_for(trial, nearest(distinct, trial, k + 1)[:, 1:], n, shape, tables, probes, per_bucket, seed, recall)  # without the query itself
+    if probes:
+        right = keyed(distinct.select("vid", "low", "v", "norm", "unit"), width, shape, tables, 1, seed).select("key", "vid", "low", "v", "norm")
+        left = keyed(asking, width, shape, tables, probes, seed).select("key", F.col("vid").alias("qv"), F.col("v").alias("w"), F.col("norm").alias("qn"))
+        found = left.join(right, "key").select("qv", "vid", "low", score)
+    else:  # no bucket saves anything: all queries meet all rows below
+        found = asking.select(F.col("vid").alias("qv"), "vid", F.lit(None).cast(dict(distinct.dtypes)["low"]).alias("low"), F.lit(0.0).alias("score")).limit(0)
+    found = saved(_ranked(found, k + 1), "found")
 
     # Queries whose buckets hold too few ids: all vectors, in blocks of the join's own making.
     have = found.join(distinct.select("vid", F.size("ids").alias("m")), "vid").groupBy("qv").agg(F.sum("m").alias("m"))
