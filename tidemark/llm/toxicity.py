@@ -7,7 +7,7 @@ maximum, so a few words in a very long text count as much as in a short one. Vec
 Adam. Misspellings and compounds share n-grams, and so vectors, with the words they come from.
 
 Scale: training takes a bounded sample of labelled rows (``sample_rows`` and ``sample_chars``, whole texts, chosen by
-a hash of the id). For scoring, each n-gram's vector is folded with the softmax into one number: half a megabyte goes
+a hash of the id; where too many characters come, the longest texts are passed over). For scoring, each n-gram's vector is folded with the softmax into one number: half a megabyte goes
 out in the closure, and scoring is one pass over the texts without a shuffle.
 """
 
@@ -17,6 +17,7 @@ import math
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -133,22 +134,45 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """Texts and labels of a bounded sample of the labelled rows whose crc32(id) mod 3 is not 1."""
     truth = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     truth = truth.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(truth, "id")
-    rows = rows.select("text", "label", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.xxhash64(F.lit(42), "id").alias("h"))
-    # Lengths first, so that the texts fetched are known to be few: at most `sample_rows` numbers.
-    heads = rows.select("h", "n").orderBy("h", "n").limit(sample_rows).collect()
-    total, last = 0, None
-    for h, n in heads:
-        total += n
-        if total > sample_chars:
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    read = read.withColumn("n", F.length(F.coalesce("text", F.lit("")))).withColumn("h", F.xxhash64(F.lit(42), "id"))
+    # Lengths first, so that the texts fetched are known to be few; pages of at most `sample_rows` triples of numbers.
+    sizes = read.select("id", "n", "h").join(truth, "id").select("h", "n", "label")
+    kept, seen, last = [], set(), None
+    while len(kept) < (sample_rows + 1) // 2:
+        page = (sizes if last is None else sizes.where(F.col("h") > last)).orderBy("h", "n").limit(sample_rows).collect()
+        seen |= {r["label"] for r in page}
+        kept = _fitting(kept + [tuple(r) for r in page], sample_rows, sample_chars)
+        if len(page) < sample_rows:
             break
-        last = h
-    if last is None:
+        last = page[-1]["h"]
+    if len({r[2] for r in kept}) < 2:  # a class may be rare or its texts long: its shortest get an eighth of the sample
+        other = sizes if not kept else sizes.where(F.col("label") != kept[0][2])
+        rare = [tuple(r) for r in other.orderBy("n", "h").limit(max(1, sample_rows // 8)).collect()]
+        seen |= {r[2] for r in rare} | {r[2] for r in kept}
+        rare = _fitting(rare, sample_rows, sample_chars // 8) or _fitting(rare[:1], 1, sample_chars)
+        kept = rare + _fitting(kept, sample_rows - len(rare), sample_chars - sum(r[1] for r in rare))
+        if seen and (not kept or len({r[2] for r in kept}) < len(seen)):
+            raise ValueError(f"no labelled text of every class fits in {sample_chars} characters")
+    if not kept:
         return [], []
-    got = rows.where(F.col("h") <= last).orderBy("h", "n", F.md5("text")).limit(sample_rows).select("text", "label").collect()
+    wanted = docs.sparkSession.createDataFrame(sorted({r[:2] for r in kept}), "h long, n int")
+    rows = read.join(F.broadcast(wanted), ["h", "n"]).join(truth, "id")
+    got = rows.orderBy("h", "n", F.md5("text")).limit(len(kept)).select("text", "label").collect()
     return [r[0] for r in got], [r[1] for r in got]
 
 
+def _fitting(rows: list[tuple], most_rows: int, most_chars: int) -> list[tuple]:
+    """Of ``rows(h, n, label)`` the most that fit: the longest are passed over first, and copies stay together."""
+    total, groups = 0, Counter((n, h, label) for h, n, label in rows)
+    out = []
+    for (n, h, label), count in sorted(groups.items()):
+        if total + n * count <= most_chars:
+            total += n * count
+            out += [(h, n, label)] * count
+    return sorted(out)[:most_rows]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS
 ) -> tuple[np.ndarray, float]:
