@@ -38,8 +38,11 @@ GOOD = frozenset("article body content entry main post story text".split())
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[a-z]+")
 
-#: Log-odds of content: constant, in article or main, heading or paragraph, good name, each share of linked text, log length.
-WEIGHTS = {"bias": -0.5, "article": 3.0, "plain": 0.8, "good": 1.0, "links": -3.0, "length": 0.35}
+#: What may stand in a head; anything else starts the body, whether or not the head was left.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+
+#: Log-odds of content: constant, in article or main, heading or paragraph, good name, noise word (half if the same element has a good name), each share of linked text, log length.
+WEIGHTS = {"bias": -0.5, "article": 3.0, "plain": 0.8, "good": 1.0, "noise": -5.0, "links": -3.0, "length": 0.35}
 BARRED_COST, ADJACENT, SIBLING = 1e6, 0.4, 0.6
 
 
@@ -48,7 +51,7 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool, int]] = [("#root", False, False, False, 0)]  # tag, barred, article, good, node
+        self.stack: list[tuple[str, bool, bool, bool, int, float]] = [("#root", False, False, False, 0, 0.0)]  # tag, barred, article, good, node, noise
         self.unseen: list[str] = []
         self.nodes, self.blocks = 0, []
         self._start()
@@ -59,22 +62,22 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            tag, barred, article, good, parent = self.place
+            tag, barred, article, good, parent, noise = self.place
             if barred:
                 odds = -BARRED_COST
             else:
                 w = WEIGHTS
-                odds = w["bias"] + w["article"] * article + w["good"] * good + w["plain"] * (tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))
+                odds = w["bias"] + w["article"] * article + w["good"] * good + w["noise"] * noise + w["plain"] * (tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))
                 odds += w["links"] * min(1.0, self.linked / len(text)) * (not article) + w["length"] * math.log1p(len(text) / 40)
             self.blocks.append((text, odds, parent))
         self._start()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.unseen:
-            if tag == self.unseen[-1] and tag not in VOID:
-                self.unseen.append(tag)
-            elif tag == "body" and self.unseen == ["head"]:
+            if tag == "body" and self.unseen[0] == "head" or self.unseen == ["head"] and tag not in IN_HEAD:
                 self.unseen.clear()
+            elif tag == self.unseen[-1] and tag not in ("head", "option", "button") or self.unseen == ["head"] and tag in UNSEEN and tag != "head":
+                self.unseen.append(tag)  # an option or a button ends the one before
             if self.unseen or tag in UNSEEN:
                 return
         if tag in BLOCK:
@@ -90,13 +93,18 @@ class _Blocks(HTMLParser):
             self._close(tag, frozenset(("ul", "ol", "table", "dl", "div", "section", "article")))
         names = {n for k, v in attrs if k in ("class", "id", "role") and v for n in _NAMES.findall(v.lower())}
         hidden = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
-        _, barred, article, good, _ = self.stack[-1]
-        own = tag in BARRED and not (tag == "header" and article) or hidden or bool(names & NOISE) and tag not in ("html", "body", "article", "main")
+        _, barred, article, good, _, noise = self.stack[-1]
+        own = tag in BARRED and not (tag == "header" and article) or hidden
+        if tag in ("article", "main"):
+            noise = noise if article or names & NOISE and not names & GOOD else 0.0  # words of the wrappers around it don't count
+        elif names & NOISE and tag not in ("html", "body"):
+            noise = max(noise, 0.5 if names & GOOD else 1.0)
         self.nodes += 1
-        self.stack.append((tag, barred or own, article or tag in ("article", "main"), good or bool(names & GOOD), self.nodes))
+        self.stack.append((tag, barred or own, article or tag in ("article", "main"), good or bool(names & GOOD), self.nodes, noise))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash has no meaning in HTML
+        if tag != "svg":  # a slash has no meaning in HTML, but in SVG
+            self.handle_starttag(tag, attrs)
 
     def _close(self, tag: str, stop: frozenset) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -110,7 +118,10 @@ class _Blocks(HTMLParser):
         if self.unseen:
             if tag == self.unseen[-1]:
                 self.unseen.pop()
-            return
+                return
+            if self.unseen != ["option"] or tag not in ("datalist", "optgroup", "select"):
+                return
+            self.unseen.clear()  # the end of what holds an option ends it
         if tag in BLOCK:
             self.flush()
         if tag in BLOCK:
@@ -120,14 +131,16 @@ class _Blocks(HTMLParser):
             self._close(tag, BLOCK)
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if self.unseen:
             return
         if data.strip():
             if self.place is None:
-                tag, barred, article, good, _ = self.stack[-1]
+                tag, barred, article, good, _, noise = self.stack[-1]
                 inner = next((s for s in reversed(self.stack) if s[0] in BLOCK or s[0] == "#root"), self.stack[0])
                 at = self.stack.index(inner)
-                self.place = (inner[0], barred, article, good, self.stack[max(0, at - 1)][4])
+                self.place = (inner[0], barred, article, good, self.stack[max(0, at - 1)][4], noise)
             if any(s[0] == "a" for s in self.stack):
                 self.linked += len(data)
         self.text.append(data)
