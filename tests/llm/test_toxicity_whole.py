@@ -15,3 +15,12 @@ def test_long_first_document_is_passed_over(spark):
     assert len(texts) == ids.count() - 1 and set(labels) == {0, 1} and sum(map(len, texts)) <= 4000
     with pytest.raises(ValueError):
         toxicity.training_rows(*args, 3)
+
+
+def test_every_part_of_an_unbroken_text_is_scored():
+    model = toxicity.train(["idiot scum", "the of", "idiot", "of the and"] * 6, [1, 0, 1, 0] * 6)
+    score = lambda t: toxicity.score(t, {}, *model)
+    assert score("theofand" * 100 + "idiotscum" * 8 + "theofand" * 100) > score("theofand" * 200) + 0.1
+    word = "".join(chr(0x4E00 + k) for k in range(1000))
+    pieces = toxicity.words_of(word)
+    assert all(any(word[i : i + 6] in p for p in pieces) for i in range(995)) and max(map(len, pieces)) <= 64

@@ -30,6 +30,7 @@ from tidemark.llm.batches import columns
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 8
 GRAMS = range(3, 7)
+MOST_LETTERS, PIECE = 64, 32
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 16_000_000
 STEPS, RATE, DECAY = 90, 0.05, 1e-6
 THRESHOLD = 0.7
@@ -39,13 +40,25 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case without punctuation around them; null has none."""
-    return [w.strip(".,;:!?\"'()[]{}<>*_-") or w for w in _WORD.findall((text or "").lower())]
+    """Words in lower case without punctuation around them; null has none.
+
+    A word of over MOST_LETTERS characters, such as a text without white space, is read as pieces of PIECE characters,
+    each a word of the window; they overlap, so that no n-gram is lost.
+    """
+    out = []
+    for w in _WORD.findall((text or "").lower()):
+        w = w.strip(".,;:!?\"'()[]{}<>*_-") or w
+        if len(w) <= MOST_LETTERS:
+            out.append(w)
+        else:
+            over = GRAMS[-1] - 1
+            out += [w[i : i + PIECE] for i in range(0, len(w) - over, PIECE - over)]
+    return out
 
 
 def grams_of(word: str) -> list[int]:
-    """Buckets of the word as a whole and of its character n-grams; only the n-grams of a very long word's ends count."""
-    w = f"<{word}>" if len(word) <= 64 else f"<{word[:32]}{word[-32:]}>"
+    """Buckets of the word as a whole and of its character n-grams."""
+    w = f"<{word}>"
     if w.isascii():  # bytes are characters: one encoding for all n-grams
         raw = w.encode()
         parts = {raw} | {raw[i : i + n] for n in GRAMS for i in range(len(raw) - n + 1)}
@@ -120,11 +133,16 @@ def score(text: str | None, known: dict[str, float], numbers: Sequence[float], b
     words = words_of(text)
     if not words:
         return 1 / (1 + math.exp(-bias))
+    values = array("d")
     for w in words:
-        if w not in known:
+        value = known.get(w)
+        if value is None:
+            if len(known) > MOST_WORDS:
+                known.clear()
             bag = grams_of(w)
-            known[w] = sum(map(numbers.__getitem__, bag)) / len(bag)
-    run = np.concatenate([[0.0], np.cumsum([known[w] for w in words])])
+            value = known[w] = sum(map(numbers.__getitem__, bag)) / len(bag)
+        values.append(value)
+    run = np.concatenate([[0.0], np.cumsum(values)])
     width = min(len(words), WINDOW)
     z = bias + float((run[width:] - run[:-width]).max()) / width
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
@@ -195,8 +213,6 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
         for part in parts:
             out = []
             for (texts,) in columns([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["t"])], "t"):
-                if len(known) > MOST_WORDS:
-                    known.clear()
                 out += [score(t, known, plain, bias) for t in texts]
             yield pd.Series(out, dtype="float64")
 
