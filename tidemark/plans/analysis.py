@@ -139,15 +139,17 @@ def st21_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densities.chi_square(counts).withColumn("statistic", F.round("statistic", 6))
 
 
-_SIZE = 300
-_CASES = {"sensitivity": [(_SIZE, 0.0, 1.0), (_SIZE, 0.5, 1.0), (_SIZE, 1.5, 1.0), (_SIZE, 3.0, 1.0)], "sizes": [(n, 0.3, 1.0) for n in (50, 100, 200, 300)], "latency": [(100, 1.5, k / 10) for k in range(11)]}
-TRIALS = 5
+#: The reference's sizes and trials (all rows, where a table has fewer).
+_SIZE = 25_000
+_CASES = {"sensitivity": [(_SIZE, 0.0, 1.0), (_SIZE, 0.5, 1.0), (_SIZE, 1.5, 1.0), (_SIZE, 3.0, 1.0)], "sizes": [(n, 0.3, 1.0) for n in (1_000, 3_000, 5_000, 10_000, 20_000, 50_000)], "latency": [(100, 1.5, k / 10) for k in range(11)]}
+TRIALS = {"sensitivity": 10, "sizes": 8, "latency": 5}
 
 
-def _trials_sql(cases: list[tuple[int, float, float]]) -> str:
+def _trials_sql(name: str) -> str:
+    cases = _CASES[name]
     values = ", ".join(f"({n}, {s}::DOUBLE, {p}::DOUBLE)" for n, s, p in cases)
     return f"""WITH ref AS (SELECT o_totalprice AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'), prod AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
-    t AS (SELECT k, v, trial, row_number() OVER (PARTITION BY trial ORDER BY md5(k || '|' || trial), k) AS r FROM prod, range(1, {TRIALS + 1}) x(trial)),
+    t AS (SELECT k, v, trial, row_number() OVER (PARTITION BY trial ORDER BY md5(k || '|' || trial), k) AS r FROM prod, range(1, {TRIALS[name] + 1}) x(trial)),
     c AS (SELECT t.*, s.* FROM t, (VALUES {values}) s(size, severity, share) WHERE r <= size), sd AS (SELECT trial, size, severity, share, stddev_samp(v) AS sd FROM c GROUP BY ALL),
     p AS (SELECT trial, size, severity, share, v + CASE WHEN r <= share * size THEN severity * sd ELSE 0 END AS v FROM c JOIN sd USING (trial, size, severity, share)),
     u AS (SELECT *, 0 AS a, 1 AS b FROM p UNION ALL SELECT trial, size, severity, share, v, 1, 0 FROM ref, (SELECT DISTINCT trial, size, severity, share FROM p)),
@@ -159,17 +161,17 @@ def _trials_sql(cases: list[tuple[int, float, float]]) -> str:
 
 def _trials(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reference = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")
-    return trials.run(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"], reference, _CASES[name], TRIALS)
+    return trials.run(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"], reference, _CASES[name], TRIALS[name])
 
 
-@query(_trials_sql(_CASES["sensitivity"]) + " SELECT 'o_totalprice' AS feature, severity, count(*) AS n_trials, round(avg(hit::INTEGER), 9) AS detection_rate FROM res GROUP BY severity")
+@query(_trials_sql("sensitivity") + " SELECT 'o_totalprice' AS feature, severity, count(*) AS n_trials, round(avg(hit::INTEGER), 9) AS detection_rate FROM res GROUP BY severity")
 def val2_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection rate of order prices shifted by 0 to 3 standard deviations."""
     return rounded(trials.detection_rate(_trials(spark, sf_dir, "sensitivity"), ["feature", "severity"]), "detection_rate")
 
 
 @query(
-    _trials_sql(_CASES["sensitivity"])
+    _trials_sql("sensitivity")
     + """, pairs AS (SELECT (severity > 0)::VARCHAR AS t, hit::VARCHAR AS p FROM res), l AS (SELECT t AS label FROM pairs UNION SELECT p FROM pairs),
     g AS (SELECT label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (t = label) AS support, count(*) FILTER (p = label) AS found FROM l, pairs GROUP BY label),
     r AS (SELECT label, CASE WHEN found = 0 THEN 0 ELSE tp / found END AS precision, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall, 2 * tp / (support + found) AS f1, support FROM g),
@@ -181,13 +183,13 @@ def agg20_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trials.class_report(_trials(spark, sf_dir, "sensitivity"), F.col("severity") > 0, F.col("drift_detected")), "precision", "recall", "f1")
 
 
-@query(_trials_sql(_CASES["sizes"]) + " SELECT size, count(*) AS n_trials, round(avg(hit::INTEGER), 9) AS detection_rate FROM res GROUP BY size")
+@query(_trials_sql("sizes") + " SELECT size, count(*) AS n_trials, round(avg(hit::INTEGER), 9) AS detection_rate FROM res GROUP BY size")
 def val4_batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection rate of a small shift by batch size."""
     return rounded(trials.detection_rate(_trials(spark, sf_dir, "sizes"), ["size"]), "detection_rate")
 
 
-@query(_trials_sql(_CASES["latency"]) + " SELECT 'o_totalprice' AS feature, trial::INTEGER AS trial, min(CASE WHEN hit THEN share END) AS share FROM res GROUP BY trial")
+@query(_trials_sql("latency") + " SELECT 'o_totalprice' AS feature, trial::INTEGER AS trial, min(CASE WHEN hit THEN share END) AS share FROM res GROUP BY trial")
 def val5_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest shifted share of a batch that alerts."""
     return trials.latency(_trials(spark, sf_dir, "latency"))
