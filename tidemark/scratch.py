@@ -11,9 +11,11 @@ CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder of ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The cluster's folder of ``spark.checkpoint.dir``; a local one of our own only where that is unset and all runs on one machine."""
     base = spark.conf.get(CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CONF} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(CONF, base)
     return base.rstrip("/")
