@@ -3,22 +3,25 @@
 A word is the bag of its character n-grams; every n-gram has a vector, found by hash. The vectors of a short window
 of words are averaged, and a two-class linear softmax reads the average. A document is as toxic as its worst window:
 in training the windows of a document share its label through a softmax pool that sharpens from their mean to their
-maximum, so a few words in a very long text count as much as in a short one. Vectors and softmax learn together, with
-Adam. Misspellings and compounds share n-grams, and so vectors, with the words they come from.
+maximum, so a few words in a very long text count as much as in a short one. In the loss a class has the same weight
+however rare it is, and that of label 1 MISS_COST times the other's. Vectors and softmax learn together, with Adam. Misspellings and compounds share n-grams, and so
+vectors, with the words they come from.
 
 Scale: training takes a bounded sample of labelled rows (``sample_rows`` and ``sample_chars``, whole texts, chosen by
-a hash of the id; where too many characters come, the longest texts are passed over). For scoring, each n-gram's vector is folded with the softmax into one number: half a megabyte goes
-out in the closure, and scoring is one pass over the texts without a shuffle.
+a hash of the id; where too many characters come, the longest texts are passed over). The labels alone say which ids
+are in the sample, so the texts are met in the scan by a broadcast of at most ``sample_rows`` ids. One task trains on
+them, and the driver gets one number for each n-gram: its vector folded with the softmax, half a megabyte in all.
+Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import columns
+from tidemark.names import all_columns, col, free
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 8
 GRAMS = range(3, 7)
@@ -34,31 +38,31 @@ MOST_LETTERS, PIECE = 64, 32
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 16_000_000
 STEPS, RATE, DECAY = 90, 0.05, 1e-6
 THRESHOLD = 0.7
+#: How much more a toxic document that is missed costs than a clean one that is rejected.
+MISS_COST = 2.0
 #: Words whose number a worker keeps before it starts anew.
 MOST_WORDS = 500_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+AROUND = ".,;:!?\"'()[]{}<>*_-"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case without punctuation around them; null has none.
+    """Words in lower case; null has none.
 
     A word of over MOST_LETTERS characters, such as a text without white space, is read as pieces of PIECE characters,
     each a word of the window; they overlap, so that no n-gram is lost.
     """
-    out = []
-    for w in _WORD.findall((text or "").lower()):
-        w = w.strip(".,;:!?\"'()[]{}<>*_-") or w
-        if len(w) <= MOST_LETTERS:
-            out.append(w)
-        else:
-            over = GRAMS[-1] - 1
-            out += [w[i : i + PIECE] for i in range(0, len(w) - over, PIECE - over)]
+    words = (text or "").lower().split()
+    if not words or max(map(len, words)) <= MOST_LETTERS:
+        return words
+    over, out = GRAMS[-1] - 1, []
+    for w in words:
+        out += [w] if len(w) <= MOST_LETTERS else [w[i : i + PIECE] for i in range(0, len(w) - over, PIECE - over)]
     return out
 
 
 def grams_of(word: str) -> list[int]:
-    """Buckets of the word as a whole and of its character n-grams."""
-    w = f"<{word}>"
+    """Buckets of the word, without punctuation around it, as a whole and of its character n-grams."""
+    w = f"<{word.strip(AROUND) or word}>"
     if w.isascii():  # bytes are characters: one encoding for all n-grams
         raw = w.encode()
         parts = {raw} | {raw[i : i + n] for n in GRAMS for i in range(len(raw) - n + 1)}
@@ -67,56 +71,73 @@ def grams_of(word: str) -> list[int]:
     return sorted({zlib.crc32(p) % BUCKETS for p in parts})
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """``(number of each bucket, bias)``: the log-odds of a window are the bias and the mean of its words' numbers.
+class Model(NamedTuple):
+    """The number of each bucket, the bias, and the score of a text without words: the share of label 1."""
+
+    numbers: np.ndarray
+    bias: float
+    blank: float
+
+
+def train(texts: Iterable[str | None], labels: Iterable[int], seed: int = 7, steps: int = STEPS) -> Model:
+    """The log-odds of a window are the bias and the mean of its words' numbers.
 
     Without rows, or with one class only, the bias alone gives the share of label 1 (smoothed).
     """
-    y = np.array(labels, np.float64)
-    prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
     kinds: dict[str, int] = {}
-    ids, sizes_of, truth = array("i"), [], []
+    ids, sizes_of, truth, seen = array("i"), array("q"), array("b"), [0, 0]
     for text, label in zip(texts, labels, strict=True):  # words become numbers at once: their strings are many
         words = words_of(text)
+        seen[label] += 1
         if words:
-            ids.extend(kinds.setdefault(w, len(kinds)) for w in words)
+            ids.extend([kinds.setdefault(w.strip(AROUND) or w, len(kinds)) for w in words])
             sizes_of.append(len(words))
             truth.append(label)
+    blank = (seen[1] + 0.5) / (seen[0] + seen[1] + 1)
     if len(set(truth)) < 2:
-        return np.zeros(BUCKETS, np.float32), prior
-    y, tokens, lengths = np.array(truth, np.float64), np.array(ids, np.int32), np.array(sizes_of)
-    bags = [grams_of(w) for w in kinds]
-    sizes = np.array([len(b) for b in bags])
-    grams = np.concatenate([np.array(b, np.int32) for b in bags])
+        return Model(np.zeros(BUCKETS, np.float32), math.log((seen[1] + 0.5) / (seen[0] + 0.5)), blank)
+    y, tokens, lengths = np.array(truth, np.float64), np.frombuffer(ids, np.int32), np.frombuffer(sizes_of, np.int64)
+    share = np.where(y == 1, MISS_COST / y.sum(), 1 / (len(y) - y.sum())) / (1 + MISS_COST)
+    bag, many = array("i"), array("i")
+    for w in kinds:
+        found = grams_of(w)
+        bag.extend(found)
+        many.append(len(found))
+    del kinds
+    grams, sizes = np.frombuffer(bag, np.int32), np.frombuffer(many, np.int32)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    del bags, kinds
 
     ends = np.cumsum(lengths)
-    begins = ends - lengths
-    width = np.minimum(lengths, WINDOW)
+    begins, width = ends - lengths, np.minimum(lengths, WINDOW)
     n_windows = lengths - width + 1
-    window_doc = np.repeat(np.arange(len(y)), n_windows)
     window_first = np.concatenate([[0], np.cumsum(n_windows)[:-1]])
-    start = np.arange(n_windows.sum()) - window_first[window_doc] + begins[window_doc]
-    stop, wide = start + width[window_doc], width[window_doc]
+    window_doc = np.repeat(np.arange(len(y), dtype=np.int32), n_windows)
+    start = (np.arange(n_windows.sum()) + (begins - window_first)[window_doc]).astype(np.int32)
+    wide = width.astype(np.int32)[window_doc]
+    stop = start + wide
 
     rng = np.random.default_rng(seed)
-    vectors, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (2, DIM)), np.array([0.0, prior])
+    vectors, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (2, DIM)), np.zeros(2)
     params = [vectors, soft, bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    run, change = np.zeros(len(tokens) + 1), np.zeros(len(tokens) + 1)
     for step in range(1, steps + 1):
         axis = soft[1] - soft[0]
         word = np.add.reduceat((vectors @ axis)[grams], first) / sizes
-        run = np.concatenate([[0.0], np.cumsum(word[tokens])])
-        z = (run[stop] - run[start]) / wide
+        np.cumsum(word[tokens], out=run[1:])
+        z = run[stop]
+        z -= run[start]
+        z /= wide
         sharp = 0.0 if step <= 8 else min(4.0, 0.25 * (step - 8))
-        top = np.maximum.reduceat(z, window_first)
-        pull = np.exp(sharp * (z - top[window_doc]))
+        pull = np.exp(sharp * (z - np.maximum.reduceat(z, window_first)[window_doc]))
         pull /= np.add.reduceat(pull, window_first)[window_doc]
         logit = np.add.reduceat(pull * z, window_first) + bias[1] - bias[0]
-        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
-        dz = pull * error[window_doc] / wide
-        change = np.bincount(start, dz, len(tokens) + 1) - np.bincount(stop, dz, len(tokens) + 1)
+        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * share
+        pull *= error[window_doc]
+        pull /= wide
+        change[:] = 0.0
+        change[start] = pull  # every window has a start and a stop of its own
+        change[stop] -= pull
         per_kind = np.bincount(tokens, np.cumsum(change)[: len(tokens)], len(sizes)) / sizes
         per_gram = np.bincount(grams, np.repeat(per_kind, sizes), BUCKETS)
         down = per_gram @ vectors
@@ -125,40 +146,60 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, steps: int
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return (vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0])
+    return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]), blank)
+
+
+class Known(dict):
+    """The number of each word that a worker has met: the mean of its n-grams' numbers."""
+
+    def __init__(self, numbers: Sequence[float]):
+        self.numbers = numbers
 
+    def __missing__(self, word: str) -> float:
+        bag = grams_of(word)
+        self[word] = out = sum(map(self.numbers.__getitem__, bag)) / len(bag)
+        return out
 
-def score(text: str | None, known: dict[str, float], numbers: Sequence[float], bias: float) -> float:
-    """The probability of label 1 for the worst window of a text; a text without words has that of the bias."""
+
+def score(text: str | None, known: Known, bias: float, blank: float) -> float:
+    """The probability of label 1 for the worst window of a text; ``blank`` for a text without words."""
     words = words_of(text)
     if not words:
-        return 1 / (1 + math.exp(-bias))
-    values = array("d")
-    for w in words:
-        value = known.get(w)
-        if value is None:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            bag = grams_of(w)
-            value = known[w] = sum(map(numbers.__getitem__, bag)) / len(bag)
-        values.append(value)
-    run = np.concatenate([[0.0], np.cumsum(values)])
+        return blank
+    if len(known) > MOST_WORDS:
+        known.clear()
+    run = np.zeros(len(words) + 1)
+    np.cumsum(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), out=run[1:])
     width = min(len(words), WINDOW)
     z = bias + float((run[width:] - run[:-width]).max()) / width
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int) -> tuple[list, list]:
-    """Texts and labels of a bounded sample of the labelled rows whose crc32(id) mod 3 is not 1."""
-    truth = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    truth = truth.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = read.withColumn("n", F.length(F.coalesce("text", F.lit("")))).withColumn("h", F.xxhash64(F.lit(42), "id"))
-    # Lengths first, so that the texts fetched are known to be few; pages of at most `sample_rows` triples of numbers.
-    sizes = read.select("id", "n", "h").join(truth, "id").select("h", "n", "label")
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int) -> DataFrame:
+    """``h, n, text, label`` of a bounded sample of the labelled rows whose crc32(id) mod 3 is not 1.
+
+    The first ``sample_rows`` labelled ids in hash order are the sample. Only if too few of them have a row in ``docs``,
+    or a class is missing, ids and lengths (no texts) of all labelled rows are joined and read in hash order.
+    """
+    hashed = F.xxhash64(F.lit(42), "id").alias("h")
+    truth = labels.where(col(label_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col).cast("int")).alias("label"))
+    truth = truth.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1).select("id", "label", hashed)
+    read = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    read = read.select("id", "text", F.length("text").alias("n"), hashed)
+    lengths = read.select("id", "n", "h")
+    page = truth.orderBy("h", "id").limit(sample_rows)  # bounded, so it may be broadcast
+    kept = _picked(lengths.join(F.broadcast(page.select("id", "label")), "id"), sample_rows, sample_chars)
+    if 2 * len(kept) < sample_rows or len({r[2] for r in kept}) < 2:
+        kept = _picked(lengths.join(truth.select("id", "label"), "id"), sample_rows, sample_chars)
+    wanted = docs.sparkSession.createDataFrame(sorted(set(kept)), "h long, n int, label int")
+    return read.join(F.broadcast(wanted), ["h", "n"]).select("h", "n", "text", "label")
+
+
+def _picked(sizes: DataFrame, sample_rows: int, sample_chars: int) -> list[tuple[int, int, int]]:
+    """``(h, n, label)`` of the rows of ``sizes(h, n, label)`` to learn from, read a bounded page at a time."""
     kept, seen, last = [], set(), None
     while len(kept) < (sample_rows + 1) // 2:
-        page = (sizes if last is None else sizes.where(F.col("h") > last)).orderBy("h", "n").limit(sample_rows).collect()
+        page = (sizes if last is None else sizes.where(F.col("h") > last)).select("h", "n", "label").orderBy("h", "n").limit(sample_rows).collect()
         seen |= {r["label"] for r in page}
         kept = _fitting(kept + [tuple(r) for r in page], sample_rows, sample_chars)
         if len(page) < sample_rows:
@@ -166,18 +207,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         last = page[-1]["h"]
     if len({r[2] for r in kept}) < 2:  # a class may be rare or its texts long: its shortest get an eighth of the sample
         other = sizes if not kept else sizes.where(F.col("label") != kept[0][2])
-        rare = [tuple(r) for r in other.orderBy("n", "h").limit(max(1, sample_rows // 8)).collect()]
+        rare = [tuple(r) for r in other.select("h", "n", "label").orderBy("n", "h").limit(max(1, sample_rows // 8)).collect()]
         seen |= {r[2] for r in rare} | {r[2] for r in kept}
         rare = _fitting(rare, sample_rows, sample_chars // 8) or _fitting(rare[:1], 1, sample_chars)
         kept = rare + _fitting(kept, sample_rows - len(rare), sample_chars - sum(r[1] for r in rare))
         if seen and (not kept or len({r[2] for r in kept}) < len(seen)):
             raise ValueError(f"no labelled text of every class fits in {sample_chars} characters")
-    if not kept:
-        return [], []
-    wanted = docs.sparkSession.createDataFrame(sorted({r[:2] for r in kept}), "h long, n int")
-    rows = read.join(F.broadcast(wanted), ["h", "n"]).join(truth, "id")
-    got = rows.orderBy("h", "n", F.md5("text")).limit(len(kept)).select("text", "label").collect()
-    return [r[0] for r in got], [r[1] for r in got]
+    return kept
 
 
 def _fitting(rows: list[tuple], most_rows: int, most_chars: int) -> list[tuple]:
@@ -193,35 +229,47 @@ def _fitting(rows: list[tuple], most_rows: int, most_chars: int) -> list[tuple]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS
-) -> tuple[np.ndarray, float]:
-    """The model of a sample of at most ``sample_rows`` labelled rows and ``sample_chars`` characters."""
-    return train(*training_rows(docs, labels, id_col, text_col, label_col, sample_rows, sample_chars))
+) -> Model:
+    """The model of a sample of at most ``sample_rows`` labelled rows and ``sample_chars`` characters, trained in one task.
+
+    Labels other than 0 and 1 count as 1 if positive, else as 0.
+    """
+    rows = training_rows(docs, labels, id_col, text_col, label_col, sample_rows, sample_chars)
+    rows = rows.select("text", (F.col("label") > 0).cast("int").alias("label"), "h", "n").repartition(1).sortWithinPartitions("h", "n", "text").select("text", "label")
+
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, truth = [], []
+        for some, marks in columns(parts, "text", "label"):
+            texts += some
+            truth += marks
+        model = train(texts, truth)
+        yield pa.RecordBatch.from_arrays([pa.array([model.numbers.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.blank])], ["numbers", "bias", "blank"])
+
+    model = rows.mapInArrow(learn, "numbers binary, bias double, blank double").first()
+    return Model(np.frombuffer(bytes(model[0]), np.float32), model[1], model[2]) if model else train([], [])
 
 
-def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column ``score_col`` of doubles in [0, 1].
 
-    Null, empty and wordless texts get the score of the bias. Whole texts of any length are read. Repeated rows
+    Null, empty and wordless texts get the share of label 1 in the sample. Whole texts of any length are read. Repeated rows
     keep their rows; an empty table stays empty. A column that has the new name is replaced.
     """
-    numbers, bias = model
+    numbers, bias, blank = model
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
-        plain = numbers.tolist()  # single look-ups are faster in a list
+        known = Known(numbers.tolist())  # single look-ups are faster in a list
         for part in parts:
             out = []
             for (texts,) in columns([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["t"])], "t"):
-                out += [score(t, known, plain, bias) for t in texts]
+                out += [score(t, known, bias, blank) for t in texts]
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn(score_col, of(F.col(text_col).cast("string")))
+    return docs.withColumn(score_col, of(col(text_col).cast("string")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns as they were."""
-    name = "__score"
-    while name in docs.columns:
-        name += "_"
-    return with_scores(docs, fit(docs, labels, id_col, text_col, **options), text_col, name).where(F.col(name) < threshold).select(*docs.columns)
+    """``docs`` without the rows that score ``threshold`` or more; all columns as they were, whatever their names."""
+    name = free(docs.columns, "__score")
+    return with_scores(docs, fit(docs, labels, id_col, text_col, **options), text_col, name).where(F.col(name) < threshold).select(*all_columns(docs))
