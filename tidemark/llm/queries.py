@@ -105,7 +105,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-@query()
+@query(
+    r"""
+    WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS MATERIALIZED (SELECT rid, s, md5(array_to_string(w[s:s + 34], ' ')) AS key FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+    gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS pos FROM win WHERE key IN (SELECT key FROM win GROUP BY key HAVING count(*) > 1)),
+    words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+    kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+    """
+)
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 35 words or more removed from all documents."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
