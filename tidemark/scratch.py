@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,9 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 def settle(spark: SparkSession) -> None:
     """Lets the shuffle files of what has been written go now, not when the driver next happens to collect its garbage."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first frees lets go of the rest
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def discard(df: DataFrame) -> None:
