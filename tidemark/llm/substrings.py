@@ -168,8 +168,12 @@ def remove_repeats(
     near = rows.select(*key, "text").join(single, key, "left").mapInArrow(windows, "rid long, tag long, pos int, h1 long, h2 int")
     odd = saved(single_places(near, ["h1", "h2"]).withColumnRenamed("found", "odd"), "single-windows")
     settle(docs.sparkSession)
-    copies = saved(rows.groupBy(*key).count().where("count > 1").select(*key, F.lit(True).alias("copied")), "copied-texts")
+    copies = rows.groupBy(*key).count().where("count > 1").select(*key, F.lit(True).alias("copied"))
+    # One narrow row a text, so that texts meet all of it in one join, which can be split where many rows are one text.
+    marks = single.unionByName(odd, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
+    marks = saved(marks.groupBy(*key).agg(*[F.any_value(n, ignoreNulls=True).alias(n) for n in ("found", "odd", "copied")]), "marks")
+    settle(docs.sparkSession)
     kind = dict(rows.dtypes)["id"]
-    out = rows.join(single, key, "left").join(odd, key, "left").join(copies, key, "left").select("id", "text", "found", "odd", "copied")
+    out = rows.join(marks, key, "left").select("id", "text", "found", "odd", "copied")
     out = out.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     return out.withColumnRenamed("id", id_col)
