@@ -57,7 +57,14 @@ def discard(df: DataFrame) -> None:
 
 
 def filesystem(uri: str):
-    """The pyarrow file system and path of a URI, for tasks that write or seek in files of their own."""
+    """The pyarrow file system and path of a URI, for tasks that write or seek in files of their own.
+
+    Hadoop's names of a scheme (``s3a``, ``s3n``) are read as pyarrow's; a scheme that it doesn't know raises
+    ValueError, so callers try their folder on the driver first.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:/", "file:///", 1))
+    scheme, sep, rest = uri.partition("://")
+    if sep and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    return fs.FileSystem.from_uri(uri if sep or uri.startswith("/") else uri.replace("file:/", "file:///", 1))
