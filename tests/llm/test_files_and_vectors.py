@@ -2,6 +2,7 @@ import hashlib
 import io
 import struct
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,6 +31,50 @@ def test_warc_round_trip(spark):
     assert empty.count() == 0
 
 
+def test_warc_index_and_references(spark, tmp_path):
+    """Other readers' way in: zipfile, gzip members, the CDXJ order, and WARC-Refers-To that names a record."""
+    import gzip
+    import json
+
+    body = "z" * 1500
+    pages = spark.createDataFrame([(1, "http://b.org/x?y=1", body), (2, "http://a.b.org:8080/", body), (2, "http://a.b.org:8080/", body), (2, "http://a.b.org:8080/", body), (3, None, "short")], "page_id long, url string, html string")
+    manifest = warc.write_packages(pages.coalesce(1)).collect()
+    ids, refers, kinds = set(), [], []
+    for row in manifest:
+        with zipfile.ZipFile(row["path"].removeprefix("file://")) as z:
+            lines = z.read(warc.INDEX).decode().split("\n")
+            assert lines == sorted(lines)
+            data = z.read(warc.DATA)
+            for line in lines:
+                place = json.loads(line[line.index("{") :])
+                raw = data[int(place["offset"]) :][: int(place["length"])]
+                fields, size, payload = warc.parse_record(gzip.decompress(raw))
+                kinds.append((fields["warc-type"], fields.get("x-page-id"), fields.get("x-refers-to-page")))
+                ids.add(fields["warc-record-id"])
+                refers += [fields["warc-refers-to"]] if fields["warc-type"] == "revisit" else []
+                assert place["digest"] == fields["warc-payload-digest"] and (len(payload) == size or not payload)
+    assert Counter(kinds) == Counter([("response", "2", None), ("revisit", "2", "2"), ("revisit", "2", "2"), ("revisit", "1", "2"), ("response", "3", None)])
+    assert len(ids) == 5 and set(refers) < ids and len(set(refers)) == 1
+    assert warc.url_key("http://a.b.org:8080/P?q") == "org,b,a:8080)/p?q" and warc.url_key("") == "-"
+
+
+def test_warc_query_against_sql_with_planted_repeats(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm.queries import QUERIES, SQL
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    more = pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 100_000)
+    pages.unionByName(more).unionByName(pages.limit(1).selectExpr("500000L AS page_id", "url", "cast(null AS string) AS html")).select(*pages.columns).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = db.execute(SQL["op2_warc"])
+    names = [c[0] for c in found.description]
+    expected = sorted((tuple(r) for r in found.fetchall()), key=repr)
+    got = sorted((tuple(r[n] for n in names) for r in QUERIES["op2_warc"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == expected and 10 < sum(r[names.index("record_type")] == "revisit" for r in got) <= more.count()
+
+
 def as_zip64(data: bytes) -> bytes:
     """The same archive of one member with every field of its directory moved to ZIP64 records."""
     end = data.rfind(b"PK\x05\x06")

@@ -126,7 +126,13 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query()
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) > 1 AND n >= 1000 AS again FROM p)
+    SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN best END AS refers_to FROM r
+    """
+)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of all pages, written into ZIP packages and read back by range."""
     return warc.read_packages(warc.write_packages(table(spark, sf_dir, "pages"))).drop("url")

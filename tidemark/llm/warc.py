@@ -1,46 +1,73 @@
 """WARC records in ZIP packages: written by tasks, read back by directory, index and range.
 
-A package is a ZIP file with stored members: ``archive/data.warc`` with the records and ``indexes/index.cdx`` with a
-line a record. The reader fetches the end of the file, parses the central directory (ZIP64 too), finds where each
-stored member lies, reads the index, and from then on reads single records by range. Nothing is extracted.
-
-Scale: digests find equal payloads by one aggregate over (digest, length, id); each task streams its records into
-packages of bounded size and returns a manifest row each. Names are new for every attempt and only packages of the
-manifest count, so a repeated task does no harm. Index lines are dealt out to tasks in ranges of one package.
+A package is a ZIP file with stored members: ``archive/data.warc.gz``, one gzip member a record, and
+``indexes/index.cdx``, a CDXJ index (URL key, time, and a JSON object with digest, offset and length), in its order.
+The reader fetches the end of the file, parses the central directory (ZIP64 too), finds where each stored member lies,
+reads the index, and from then on reads single records by range. Nothing is extracted.
+
+Scale: equal payloads are found from ids, addresses and digests alone; bodies travel once, to meet what is known about
+their digest, in a join that adaptive execution may split, and go from there into packages of bounded size, a manifest
+row each. Names are new for every attempt and only packages of the manifest count, so a repeated task does no harm.
+What a row becomes follows from its content, so a plan that runs twice decides alike. Index lines are dealt out to
+tasks in ranges of one package.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import batch, columns
+from tidemark.names import col
 from tidemark.scratch import filesystem, new_path, saved
 
 LEAST_REVISIT = 1000
 PACKAGE_BYTES = 256 << 20
 RANGE_RECORDS = 2000
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 STAMP = "2020-01-01T00:00:00Z"
+#: zlib's window size for gzip members.
+GZIP = 31
+
+
+def clean_url(url: str) -> str:
+    """The address without characters that would end a header field or an index column."""
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
+
 
+def url_key(url: str) -> str:
+    """The key that an index is sorted by: the host's labels in reverse, then path and query; other text in lower case."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        host = None
+    if not host:
+        return url.lower() or "-"
+    return f"{','.join(reversed(host.split('.')))}{f':{port}' if port else ''}){parts.path or '/'}{f'?{parts.query}' if parts.query else ''}".lower()
 
-def record(kind: str, record_id: str, url: str, page: int | None, digest: str, size: int, refers: int | None, payload: bytes) -> bytes:
-    """A WARC/1.1 record. A revisit keeps the HTTP head, with the length of the whole payload, and no payload."""
+
+def record(record_id: str, url: str, page: int | None, digest: str, size: int, payload: bytes | None, original: tuple[str, str, int | None] | None = None) -> bytes:
+    """A WARC/1.1 record. A revisit of ``original(record id, url, page)`` keeps the HTTP head, with the length of the whole payload, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http + (payload if kind == "response" else b"")
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {STAMP}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
-    clean = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
-    head += [f"WARC-Target-URI: {clean}"] * bool(clean)
+    block = http + (b"" if original else payload)
+    head = [f"WARC-Type: {'revisit' if original else 'response'}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {STAMP}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    head += [f"WARC-Target-URI: {url}"] * bool(url)
     head += [f"X-Page-ID: {page}"] * (page is not None)
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}"]
+    if original:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{original[0]}>", f"WARC-Refers-To-Date: {STAMP}"]
+        head += [f"WARC-Refers-To-Target-URI: {original[1]}"] * bool(original[1])
+        head += [f"X-Refers-To-Page: {original[2]}"]
     return ("WARC/1.1\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -114,22 +141,42 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Writes a record for each row of ``pages`` and returns the manifest: path, records.
 
     Of rows with equal payloads of ``least`` bytes or more, that with the largest id is the response (a null id is below
-    all others; of equal ids, one) and the others revisit it. Null html is an empty payload. Empty tables give no package.
+    all others; of equal ids, that with the largest url; of rows that are equal in all three, one) and the others
+    revisit it. Null html is an empty payload. Empty tables give no package. Other columns are not read.
     """
-    body = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
-    rows = saved(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("digest", F.sha1("body")).withColumn("key", F.sha2("body", 256)), "pages")
-    big = rows.where(F.octet_length("body") >= least).groupBy("key").agg(F.max(F.struct("id", "rid")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    marks = rows.join(big, "key", "left").where("best.rid <> rid").select("rid", F.col("best.id").alias("refers"), F.lit(True).alias("again"))
+    body = F.encode(F.coalesce(col(html_col).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(col(id_col).cast("long").alias("id"), col(url_col).cast("string").alias("url"), body.alias("body"))
+    rows = rows.select("*", F.octet_length("body").alias("n"), F.sha1("body").alias("digest"), F.unhex(F.sha2("body", 256)).alias("key"))
+    alike = rows.where(F.col("n") >= least).groupBy("key", "id", "url").agg(F.count("*").alias("c"))
+    big = alike.groupBy("key").agg(F.max(F.struct("id", "url", "c")).alias("best"), F.sum("c").alias("rows")).where("rows > 1").drop("rows")
+    big = saved(big, "repeats")
+
+    name = lambda i, u: F.md5(F.concat_ws("|", F.hex("key"), F.coalesce(i.cast("string"), F.lit("")), F.coalesce(u, F.lit(""))))
+    joined = rows.join(big, "key", "left")
+    first = F.col("id").eqNullSafe(F.col("best.id")) & F.col("url").eqNullSafe(F.col("best.url"))
+    again = F.col("best").isNotNull() & ~F.col("first")
+    shape = ["id", "url", "n", "digest", F.when(~F.col("again"), F.col("body")).alias("body"), "again", name(F.col("id"), F.col("url")).alias("name")]
+    shape += [name(F.col("best.id"), F.col("best.url")).alias("to_name"), F.col("best.url").alias("to_url"), F.col("best.id").alias("to_id")]
+    joined = joined.withColumn("first", first).withColumn("again", again)
+    out = joined
+    if not big.where("best.c > 1").isEmpty():  # rows that nothing tells apart: one response and so many revisits
+        twin = F.col("first") & (F.col("best.c") > 1)
+        out = joined.where(F.coalesce(~twin, F.lit(True)))
+        held = joined.where(twin).groupBy("key").agg(*[F.first(n).alias(n) for n in ("id", "url", "body", "n", "digest", "best")])
+        held = held.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("best.c"))).alias("i")).withColumn("first", F.lit(True)).withColumn("again", F.col("i") > 1)
+        out = out.select(*joined.columns).unionByName(held.select(*joined.columns))
     folder = new_path(pages.sparkSession, "packages")
+    filesystem(folder)
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, made = None, []
-        for ids, urls, bodies, digests, again, refers in columns(parts, "id", "url", "body", "digest", "again", "refers"):
-            for page, url, payload, digest, repeat, target in zip(ids, urls, bodies, digests, again, refers, strict=True):
+        names = ("id", "url", "n", "digest", "body", "again", "name", "to_name", "to_url", "to_id")
+        for some in columns(parts, *names):
+            for page, url, size, digest, payload, repeat, own, to_name, to_url, to_id in zip(*some, strict=True):
                 if pack is None:
                     pack = _Package(f"{folder}/{uuid.uuid4().hex}.wacz")
-                pack.add(page, url or "", payload, digest, bool(repeat), target)
+                own = uuid.uuid4() if repeat else uuid.UUID(own)
+                pack.add(str(own), clean_url(url or ""), page, digest, size, payload, (str(uuid.UUID(to_name)), clean_url(to_url or ""), to_id) if repeat else None)
                 if pack.offset >= package_bytes:
                     made.append(pack.close())
                     pack = None
@@ -137,11 +184,11 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             made.append(pack.close())
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["path", "records"])
 
-    return saved(rows.join(marks, "rid", "left").select("id", "url", "body", "digest", "again", "refers").mapInArrow(write, "path string, records long"), "manifest")
+    return saved(out.select(*shape).mapInArrow(write, "path string, records long"), "manifest")
 
 
 class _Package:
-    """One ZIP file while it is written: records stream out, a short index line for each is kept."""
+    """One ZIP file while it is written: records stream out, an index line for each is kept."""
 
     def __init__(self, uri: str):
         self.uri, self.index, self.offset = uri, [], 0
@@ -151,20 +198,27 @@ class _Package:
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
         self.data = self.zip.open(DATA, "w", force_zip64=True)
 
-    def add(self, page: int | None, url: str, payload: bytes, digest: str, repeat: bool, target: int | None) -> None:
-        raw = record("revisit" if repeat else "response", str(uuid.uuid4()), url, page, digest, len(payload), target, payload)
+    def add(self, record_id: str, url: str, page: int | None, digest: str, size: int, payload: bytes | None, original: tuple | None) -> None:
+        raw = zlib.compress(record(record_id, url, page, digest, size, payload, original), 6, GZIP)
         self.data.write(raw)
-        self.index.append(f"{self.offset} {len(raw)}")
+        fields = {"url": url, "mime": "warc/revisit" if original else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(raw)), "offset": str(self.offset), "filename": DATA.rpartition("/")[2]}
+        self.index.append(f"{url_key(url)} {''.join(c for c in STAMP if c.isdigit())} {json.dumps(fields)}")
         self.offset += len(raw)
 
     def close(self) -> tuple[str, int]:
         self.data.close()
-        self.zip.writestr(INDEX, "\n".join(self.index))
+        self.zip.writestr(INDEX, "\n".join(sorted(self.index)))
         self.zip.close()
         self.out.close()
         return self.uri, len(self.index)
 
 
+def index_places(index: str) -> list[tuple[int, int]]:
+    """``(offset, length)`` of the records of a CDXJ index, in the order of the data."""
+    fields = (json.loads(line[line.index("{") :]) for line in index.split("\n") if line)
+    return sorted((int(f["offset"]), int(f["length"])) for f in fields)
+
+
 def _open(uri: str):
     fs, path = filesystem(uri)
     source = fs.open_input_file(path)
@@ -182,7 +236,7 @@ def read_packages(manifest: DataFrame, with_payload: bool = False, range_records
                 with source:
                     found = members(read, source.size())
                     base, (at, size) = found[DATA][0], found[INDEX]
-                    lines = [tuple(map(int, line.split())) for line in read(at, size).decode().split("\n") if line]
+                    lines = index_places(read(at, size).decode())
                 rows = [(path, base, [o for o, _ in lines[k : k + range_records]], [n for _, n in lines[k : k + range_records]]) for k in range(0, len(lines), range_records)]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -199,7 +253,7 @@ def read_packages(manifest: DataFrame, with_payload: bool = False, range_records
                 held = 0
                 with source:
                     for start, length in zip(starts, lengths, strict=True):
-                        head, size, payload = parse_record(read(base + start, length))
+                        head, size, payload = parse_record(zlib.decompress(read(base + start, length), GZIP))
                         kind = head["warc-type"]
                         stated = head["warc-payload-digest"].removeprefix("sha1:")
                         digest = stated if kind == "revisit" else hashlib.sha1(payload).hexdigest()
@@ -208,7 +262,7 @@ def read_packages(manifest: DataFrame, with_payload: bool = False, range_records
                         number = [int(head[n]) if head.get(n, "None") != "None" else None for n in ("x-page-id", "x-refers-to-page")]
                         more = (payload if kind == "response" else None,) if with_payload else ()
                         out.append((number[0], head.get("warc-target-uri"), size, digest, kind, number[1], *more))
-                        held += length if with_payload else 200
+                        held += len(payload) if with_payload else 200
                         if held > 8 << 20:
                             yield batch(out, fields)
                             out, held = [], 0
