@@ -127,3 +127,29 @@ def test_neighbours_hard_rows(spark):
     assert neighbours.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     two = spark.createDataFrame([(0, same), (7, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in neighbours.search(two, F.col("vec_id") % 50 == 0).collect()] == [7]
+
+
+def test_neighbours_tiny_huge_and_near_equal(spark):
+    """Powers that would leave the range of doubles, and one bucket of very many near-equal vectors."""
+    rng = np.random.default_rng(1)
+    one = rng.normal(size=16)
+    near = one + rng.normal(scale=1e-3, size=(3000, 16))
+    far = rng.normal(size=(3000, 16))
+    rows = [(k, (x * 10.0 ** (300 if k % 3 else -300)).tolist()) for k, x in enumerate(np.concatenate([near, far]))]
+    rows += [(6000, [1e-200] * 16), (6001, [3e200] * 16), (6050, [5e-324] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(frame, F.col("vec_id") % 50 == 0, tables=6, probes=8).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    x = np.array([np.array(v) / max(map(abs, v)) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6051, 50):
+        i = q if q < 6001 else 6002
+        near_by = x @ x[i]
+        near_by[i] = -9
+        best = [rows[j][0] for j in np.argsort(-near_by, kind="stable")[:5]]
+        hits += len(set(best) & set(got[q]))
+        assert len(got[q]) == 5 and all(abs(s - near_by[v if v <= 6001 else 6002]) < 1e-12 for v, s in got[q].items())
+    assert hits >= 0.9 * 5 * 122
+    assert {6001, 6050} <= set(got[6000])
