@@ -93,6 +93,75 @@ def test_packing(spark):
     check_pieces(packing.pack(docs, tokenizer("byte_bpe_50k.json")).collect(), dict(map(tuple, docs.collect())))
 
 
+def test_packing_hard_rows(spark):
+    docs = hard_rows(spark)
+    pieces = packing.pack(docs, tokenizer("byte_bpe_50k.json")).collect()
+    starts = Counter(p["doc_id"] for p in pieces if p["start"] == 0)
+    assert starts == Counter(r["doc_id"] for r in docs.collect())  # equal and null ids are documents of their own
+    assert {p["length"] for p in pieces if p["doc_id"] in (1, 2)} == {1}
+    one = docs.where("doc_id IN (3, 5, 6, 7)")
+    check_pieces(packing.pack(one, tokenizer("byte_bpe_50k.json")).collect(), {r["doc_id"]: r["text"] for r in one.collect()})
+    assert packing.pack(docs.limit(0), tokenizer("byte_bpe_50k.json")).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(pieces)
+
+
+def test_near_dedup_hard_rows(spark):
+    docs = hard_rows(spark)
+    got = Counter((r[0], r[2]) for r in simhash.near_dedup(docs, width=4).collect())
+    prints = [(r["doc_id"], brute_print(r["text"], 4)) for r in docs.collect()]
+    groups = brute_groups([f for _, f in prints])
+    lows = {}
+    for doc, f in prints:
+        lows[groups[f]] = min((d for d in (doc, lows.get(groups[f])) if d is not None), default=None)
+    assert got == Counter((doc, lows[groups[f]]) for doc, f in prints)
+    assert simhash.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_segments_find_every_link():
+    """Of two fingerprints within the bits, some segment is within its radius, whatever the number of rows."""
+    import random
+
+    rng = random.Random(2)
+    for count in (10, 10**5, 10**8, 10**12):
+        for bits in (2, 4):
+            parts = simhash.segments(count, bits)
+            assert sum(w for _, w, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) == bits + 1
+            for _ in range(300):
+                flips = sum(1 << i for i in rng.sample(range(64), bits))
+                assert any((flips >> shift & (1 << width) - 1).bit_count() <= radius for shift, width, radius in parts)
+    assert len(simhash.segments(10, 4)) > len(simhash.segments(10**12, 4))
+
+
+NAMES = ["__ROW", "__p", "__size", "__FP", "__SCORE", "__same", "a.b", "__position", "__Text", "rid"]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_clashing_names_keep_their_values(spark, stage):
+    rows = [(k, f"some words of text number {k} and more of them {k * k}", "s", *[f"{n}{k}" for n in NAMES]) for k in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in NAMES]]))
+    got = stage(spark, docs, SF)
+    if stage is corpus_pipeline.STAGES[-1][1]:
+        assert got.count() == 6
+        return
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
+
+
+def test_mix_takes_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = mixing.mix(docs).collect()
+    assert got and all(r["text"] == texts[r["doc_id"]] for r in got)
+    sizes = docs.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"))
+    taken, target, largest = Counter(), {}, Counter()
+    for r in mixing.assign(sizes, whole=True).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
+
+
 def test_mixing_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sizes = docs.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"))
@@ -123,12 +192,20 @@ def test_pipeline_against_brute_force(spark):
         key = low(r["text"])
         if key not in best or best[key]["doc_id"] < r["doc_id"]:
             best[key] = r
-    prints = {r["doc_id"]: brute_print(r["text"], 5) for r in best.values()}
-    groups = brute_groups(prints.values())
-    lows = {}
-    for doc, f in prints.items():
-        lows[groups[f]] = min(doc, lows.get(groups[f], doc))
-    kept = spark.createDataFrame([r for r in best.values() if r["doc_id"] in set(lows.values())], docs.schema)
+    sets = {r["doc_id"]: simhash.shingle_set(r["text"], 5) for r in best.values()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and simhash.jaccard(sets[a], sets[b]) >= simhash.SIMILAR:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = spark.createDataFrame([r for r in best.values() if find(r["doc_id"]) == r["doc_id"]], docs.schema)
     mixed = mixing.mix(kept).collect()
     pieces = corpus_pipeline.run(spark, SF).collect()
     from tokenizers import Tokenizer

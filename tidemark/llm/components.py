@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.scratch import saved
+from tidemark.scratch import discard, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        cur = saved(small.where("a <> b").distinct(), "links")
+        old, cur = cur, saved(small.where("a <> b").distinct(), "links")
+        discard(old)
         after = _state(cur)
         if after == before:
             break

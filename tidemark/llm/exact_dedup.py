@@ -1,11 +1,11 @@
 """Exact dedup by deterministic block naming, in DataFrame functions only.
 
-Every text is cut into blocks of a fixed number of characters. The distinct blocks are sorted and numbered, so
-each block has an integer name and equal names mean equal blocks. Then adjacent names are paired, the distinct
+Every text is cut into blocks of a fixed number of characters. The distinct blocks are dealt out by hash, sorted and
+numbered, so each block has an integer name and equal names mean equal blocks. Then adjacent names are paired, the distinct
 pairs sorted and numbered, and so on, until one name is left for each document. Two documents with the same
 number of rounds and the same last name are equal: no hash decides.
 
-Scale: a block's text is shuffled twice (distinct, sort). Everything else moves integers. The number of rounds is
+Scale: a block's text is shuffled once, after copies are combined. Everything else moves integers. The number of rounds is
 the logarithm of the longest text in blocks. Copies are combined before each shuffle (``distinct``), and hot names
 meet a table with one row a name, in joins that adaptive execution can split.
 """
@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.scratch import saved
+from tidemark.names import all_columns, col, free
+from tidemark.scratch import saved, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 1024
+#: Rows of a group that meet its record in one task, how many such parts there are at most, and how many large groups are broadcast at most.
+SPREAD, MOST_SALTS, MOST_HOT = 512, 4096, 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -32,8 +35,8 @@ def _blocks(norm: Column, size: int) -> Column:
 
 
 def _name(keys: DataFrame, by: list[str], label: str) -> DataFrame:
-    """The distinct rows of ``keys``, sorted and numbered. Written, so that the numbers stay."""
-    return saved(keys.distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id()), label)
+    """The distinct rows of ``keys``, sorted where they are dealt out to and numbered. Written, so that the numbers stay."""
+    return saved(keys.distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def block_names(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -45,7 +48,8 @@ def block_names(docs: DataFrame, text_col: str = "text", block: int = BLOCK) ->
     texts = docs.select(F.explode(_blocks(F.col("norm"), block)).alias("block")).withColumn("h", F.xxhash64("block"))
 
     # Blocks travel once with their text, to be sorted and named; afterwards their 64-bit hash stands for them.
-    named = saved(texts.distinct().orderBy("block").select("h", F.monotonically_increasing_id().alias("name")), "blocks")
+    named = saved(texts.distinct().sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name")), "blocks")
+    settle(docs.sparkSession)
     # Different blocks with one hash, in practice none, go by their whole text instead.
     clash = named.groupBy("h").count().where("count > 1").select("h", F.lit(True).alias("clash"))
     clash = saved(clash, "clash")
@@ -60,6 +64,7 @@ def block_names(docs: DataFrame, text_col: str = "text", block: int = BLOCK) ->
         occ.select("rid", "pos", "width", "h", F.when(F.col("clash"), F.col("block")).otherwise("").alias("t"), F.when(first, F.col("id")).alias("id"), F.when(first, F.col("sha")).alias("sha")),
         "occ",
     )
+    settle(docs.sparkSession)
     row = occ.where("pos = 0").select("rid", "id", "sha")
     widest = occ.agg(F.max("width")).first()[0] or 1
     cur = occ.select("rid", "pos", "width", "h", "t").join(names, ["h", "t"]).select("rid", "pos", "width", "name")
@@ -89,12 +94,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     If one id occurs on several rows with equal text, exactly one of them is kept. An empty table gives an empty
     result; columns other than the two named are not looked at, whatever their names.
     """
-    base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    base = docs.select(col(id_col).alias("id"), normalised(col(text_col)).alias("norm"))
     base = base.withColumn("sha", F.sha2("norm", 256))
     rows = saved(block_names(base, block=block), "identity")
-    groups = rows.groupBy("level", "name").agg(F.max(F.struct("id", "rid")).alias("best"), F.count("*").alias("group_size"))
-    out = rows.join(groups, ["level", "name"])
-    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "rid")
+    groups = rows.groupBy("level", "name").agg(F.max(F.struct("id", "rid")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    # Written, so that only the rows and a row a group meet in the join; a large group's rows spread over salts.
+    salts = F.least(F.ceil(F.col("group_size") / SPREAD), F.lit(MOST_SALTS)).cast("int")
+    groups = saved(groups.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), salts.alias("salts")), "groups")
+    hot = saved(groups.where("salts > 1 AND salt = 0").select("level", "name", "salts"), "large-groups")
+    rows = rows.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, ["level", "name"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    out = rows.join(groups.drop("salts"), ["level", "name", "salt"], "left")
+    own = lambda c, alone: F.when(F.col("best").isNull(), alone).otherwise(c)
+    kept = own(F.col("rid") == F.col("best.rid"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), own(F.col("best.id"), F.col("id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), "rid")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -102,11 +115,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The rows are written once with a number of their own, so that the decision meets exactly the row it was made for.
     """
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
+    row = free(docs.columns, "__row")
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    base = numbered.select(F.struct(F.col(id_col).alias("k"), F.col(row).alias("r")).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("sha", F.lit(""))
+    base = numbered.select(F.struct(col(id_col).alias("k"), F.col(row).alias("r")).alias("id"), normalised(col(text_col)).alias("norm")).withColumn("sha", F.lit(""))
     rows = block_names(base, block=block)
     keep = rows.groupBy("level", "name").agg(F.max("id").alias("best")).select(F.col("best.r").alias(row))
-    return numbered.join(keep, row, "left_semi").select(*docs.columns)
+    return numbered.join(keep, row, "left_semi").select(*all_columns(docs))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.names import col, free
+
 #: Element names of the HTML standard, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template noscript iframe object svg canvas head title select option textarea button audio video".split())
@@ -247,5 +249,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "tex
     Null and empty pages give empty text. Repeated rows keep their rows; an empty table stays empty. Columns that
     have the new names are replaced.
     """
-    out = pages.withColumn("__text", main_text(F.col(html_col))).drop(html_col)
-    return out.drop(text_col, "n_chars").withColumnRenamed("__text", text_col).withColumn("n_chars", F.char_length(text_col).cast("long"))
+    name = free(pages.columns, "__text")
+    out = pages.withColumn(name, main_text(col(html_col)))
+    kept = [col(n) for n in pages.columns if n.lower() not in {html_col.lower(), text_col.lower(), "n_chars"}]
+    return out.select(*kept, F.col(name).alias(text_col), F.char_length(name).cast("long").alias("n_chars"))

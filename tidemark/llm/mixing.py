@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prefix import running
+from tidemark.names import all_columns, col, free
 from tidemark.scratch import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,13 +65,14 @@ def targets(sizes: DataFrame, weights: Sequence[int], budget: float, most: int)
 
 
 def assign(
-    sizes: DataFrame, weights: Sequence[int] = WEIGHTS, schedule: Sequence[Sequence[tuple[float, float]]] = SCHEDULE, budget: float = 1.5, most: int = 2
+    sizes: DataFrame, weights: Sequence[int] = WEIGHTS, schedule: Sequence[Sequence[tuple[float, float]]] = SCHEDULE, budget: float = 1.5, most: int = 2, whole: bool = False
 ) -> DataFrame:
     """``sizes(id, .., source, size)`` with source_size, target, taken and, for each pass, its words and position.
 
     ``firsts`` and ``agains`` are the words that the first and the later passes take of a document; at the end of the
     demand a document may be taken in part, so a source's words differ from its target by less than one. Positions
-    are null where nothing is taken. A null or negative size counts as 0. Equal rows get equal or adjacent places;
+    are null where nothing is taken. With ``whole`` that last document is taken whole or not at all, whichever is nearer
+    to the demand. A null or negative size counts as 0. Equal rows get equal or adjacent places;
     which of them comes first makes no difference to the result.
     """
     base = sizes.withColumn("no_source", F.col("source").isNull()).withColumn("src", F.coalesce("source", F.lit("")))
@@ -80,7 +82,8 @@ def assign(
     rows = running(base, ["no_source", "src"], ["key", "id", "size"], {"before": "size"})
     rows = rows.join(saved(targets(base.select("no_source", "src", "size"), weights, budget, most), "targets"), ["no_source", "src"])
     demand = F.floor(F.col("target") + 0.5)
-    part = lambda start: F.least(F.greatest(demand - start, F.lit(0)), F.col("size"))
+    left = lambda start: F.least(F.greatest(demand - start, F.lit(0)), F.col("size"))
+    part = (lambda start: F.when(2 * left(start) >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))) if whole else left
     rows = rows.withColumn("firsts", part(F.col("before")))
     for k in range(1, most):
         rows = rows.withColumn(f"agains{k}", part(F.col("before") + k * F.col("source_size")))
@@ -99,15 +102,13 @@ def assign(
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, **options) -> DataFrame:
     """The training order: the columns of ``docs``, a row for each pass that takes the document, sorted by position.
 
-    Where the demand ends inside a document, its text is cut after the words taken (then joined by one space).
-    Documents without words take no part, since a mix counts words. Empty tables give empty results.
+    Documents go whole: where the demand of a source ends inside one, it is taken if that is nearer to the demand.
+    Documents without words take no part, since a mix counts words. Rows with null, equal or repeated ids and extra
+    columns of any name stay as they are. Empty tables give empty results.
     """
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
+    row, place = free(docs.columns, "__row"), free(docs.columns, "__position")
     full = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    sizes = full.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    plan = assign(sizes, weights, **options).where("taken > 0").select(F.col("row").alias(row), F.col("size").alias("__size"), F.explode(F.arrays_zip("positions", "words")).alias("__p")).where("__p.words > 0")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__p.words").cast("int")), " ")
-    out = full.join(plan, row).withColumn(text_col, F.when(F.col("__p.words") < F.col("__size"), cut).otherwise(F.col(text_col)))
-    return out.repartitionByRange(F.col("__p.positions"), F.col(row)).sortWithinPartitions("__p.positions", row).select(*docs.columns)
+    sizes = full.select(F.col(row).alias("row"), col(id_col).alias("id"), col(source_col).alias("source"), n_words(col(text_col)).alias("size"))
+    plan = assign(sizes, weights, whole=True, **options).where("taken > 0")
+    plan = plan.select(F.col("row").alias(row), F.explode(F.filter("positions", lambda x: x.isNotNull())).alias(place))
+    return full.join(plan, row).repartitionByRange(place, row).sortWithinPartitions(place, row).select(*all_columns(docs))

@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidemark.llm.batches import batch, columns
 from tidemark.llm.tokens import encoder
+from tidemark.names import col
 from tidemark.scratch import saved
 
 CAPACITY = 1024
@@ -118,7 +119,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: b
                     seen[len(piece)] += 1
             yield batch(out, fields)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(pieces, from_arrow_schema(pa.schema(fields)))
 
 
@@ -128,7 +129,7 @@ def pack(
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 16 bits each).
 
     Null and empty texts are the end id alone. Each row of ``docs`` is a document of its own, whatever its id; a null
-    id stays null. Sequences with several pieces have the first numbers, whole pieces the ones after. An empty table
+    id stays null; an id that is no whole number is an error; other columns are not read. Sequences with several pieces have the first numbers, whole pieces the ones after. An empty table
     gives an empty result.
     """
     made = saved(cut(docs, tokenizer, end_id, capacity, with_ids, id_col, text_col), "pieces")

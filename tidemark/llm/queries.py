@@ -80,7 +80,9 @@ _POSITION = """CASE slot
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-varying curriculum over all documents, sources at 3, 1, 2."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"))
-    return mixing.assign(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round(F.col("positions")[0], 6).alias("first_position"))
+    out = mixing.assign(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("positions")[0].alias("first_position"))
+    out = out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")  # the training order
+    return out.withColumn("first_position", F.round("first_position", 6))
 
 
 @query()

@@ -1,20 +1,23 @@
 """SimHash near-dedup with multi-index hashing.
 
-Fingerprints: every 64-bit hash of a word shingle votes on each bit. Links: the 64 bits are split into segments of
-22, 21 and 21 bits. If two fingerprints differ in at most 4 bits, then the first or second segment differs in at
-most one bit or the third not at all (1 + 1 + 0 is the most that 4 bits spare three segments, less one). So each
-fingerprint asks the table of each segment for its own value and, in the first two, for all values one bit away,
-and a complete comparison verifies what comes back.
+Fingerprints: every 64-bit hash of a word shingle votes on each bit. Links: the 64 bits are split into segments, each
+with a radius; the radii, each plus one, sum to one more than the bits that a link may have, so of two linked
+fingerprints some segment differs in no more bits than its radius. So each fingerprint asks the table of a segment for
+all values in the Hamming ball of that radius around its own, and a complete comparison verifies what comes back. How
+many segments there are follows from the number of fingerprints: short ones bring chance matches, long ones large
+balls, and the shape with the least of both together is taken.
 
 Scale: only distinct fingerprints take part, so a group of exact copies is one row. Dense groups of near copies are
-first contracted through links of at most 2 bits, which need exact matches of a segment only; the second join
+first contracted through links of at most 2 bits, whose balls are small; the second join
 returns a link only between groups that are still apart. All joins verify inside the join, so no candidate pairs
 are written; adaptive execution may split hot segments.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.names import all_columns, col, free
 from tidemark.scratch import saved
 
-SEGMENTS = ((42, 22), (21, 21), (0, 21))
-RADIUS = (1, 1, 0)
 LINK_BITS, CLOSE_BITS = 4, 2
+#: Balls of more than two flipped bits have too many members to ask for.
+MOST_RADIUS = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -67,29 +71,45 @@ def fingerprints(text: Column, width: int) -> Column:
     return of(text)
 
 
-def _keys(fps: DataFrame, radii: tuple[int, ...]) -> DataFrame:
-    """A row for each segment and each value within the radius (0 or 1 bits) of the fingerprint's own."""
+def segments(count: int, bits: int) -> list[tuple[int, int, int]]:
+    """``(shift, width, radius)`` of each segment for ``count`` fingerprints and links of ``bits``: the least keys and chance matches."""
+
+    def shape(n: int) -> list[tuple[int, int, int]]:
+        widths = [64 // n + (k < 64 % n) for k in range(n)]
+        radii = [(bits + 1) // n - 1 + (k < (bits + 1) % n) for k in range(n)]
+        return [(64 - sum(widths[: k + 1]), w, r) for k, (w, r) in enumerate(zip(widths, radii, strict=True))]
+
+    def cost(parts: list[tuple[int, int, int]]) -> float:
+        balls = [(sum(math.comb(w, i) for i in range(r + 1)), w) for _, w, r in parts]
+        return sum(count * ball + count * count * ball / 2.0**w for ball, w in balls)
+
+    return min((shape(n) for n in range(1, bits + 2)), key=lambda parts: (cost(parts), len(parts)) if max(r for _, _, r in parts) <= MOST_RADIUS else (math.inf, 0))
+
+
+def _keys(fps: DataFrame, parts: list[tuple[int, int, int]], balls: bool) -> DataFrame:
+    """A row for each segment and, with ``balls``, each value within its radius of the fingerprint's own."""
     out = []
-    for k, ((shift, width), radius) in enumerate(zip(SEGMENTS, radii, strict=True)):
-        own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        tagged = own.bitwiseOR(F.lit(k << 24).cast("long"))
-        out.append(F.array(tagged, *[tagged.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(width if radius else 0)]))
-    return fps.withColumn("key", F.explode(F.flatten(F.array(*out))))
+    for k, (shift, width, radius) in enumerate(parts):
+        own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
+        flips = [sum(1 << i for i in some) for n in range(radius + 1 if balls else 1) for some in combinations(range(width), n)]
+        out.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(k).alias("segment"), own.bitwiseXOR(x).alias("value"))))  # noqa: B023
+    return fps.withColumn("key", F.explode(F.concat(*out))).select("fp", "root", "key.*")
 
 
-def _links(fps: DataFrame, radii: tuple[int, ...], bits: int) -> DataFrame:
+def _links(fps: DataFrame, bits: int, count: int) -> DataFrame:
     """Pairs of roots whose fingerprints differ in at most ``bits`` bits. ``fps``: fp, root."""
-    a = _keys(fps, radii).select("key", F.col("fp").alias("x"), F.col("root").alias("rx"))
-    b = _keys(fps, (0, 0, 0)).select(F.col("key").alias("k2"), F.col("fp").alias("y"), F.col("root").alias("ry"))
-    near = (F.col("key") == F.col("k2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits)
+    parts = segments(count, bits)
+    a = _keys(fps, parts, True).select("segment", "value", F.col("fp").alias("x"), F.col("root").alias("rx"))
+    b = _keys(fps, parts, False).select(F.col("segment").alias("s2"), F.col("value").alias("v2"), F.col("fp").alias("y"), F.col("root").alias("ry"))
+    near = (F.col("segment") == F.col("s2")) & (F.col("value") == F.col("v2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits)
     return a.join(b.hint("merge"), near).select(F.col("rx").alias("a"), F.col("ry").alias("b"))
 
 
 def linked(fps: DataFrame) -> DataFrame:
     """``(fp, root)`` for every distinct fingerprint; equal roots mean one component under LINK_BITS."""
-    fps = fps.withColumn("root", F.col("fp"))
-    near = saved(_rooted(fps, components(_links(fps, (0, 0, 0), CLOSE_BITS))), "close")
-    return _rooted(near, components(_links(near, RADIUS, LINK_BITS)))
+    fps, count = fps.withColumn("root", F.col("fp")), fps.count()
+    near = saved(_rooted(fps, components(_links(fps, CLOSE_BITS, count))), "close")
+    return _rooted(near, components(_links(near, LINK_BITS, count)))
 
 
 def _rooted(fps: DataFrame, found: DataFrame) -> DataFrame:
@@ -111,7 +131,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows and equal ids each
     keep their row. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width).alias("fp"))
+    rows = docs.select(col(id_col).alias("id"), fingerprints(col(text_col), width).alias("fp"))
     out = with_components(saved(rows, "prints"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -212,12 +232,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     20, and 64 bits in over 20 segments select nothing), so bands of minima of the sets bring the candidates, and
     the sets themselves decide.
     """
-    row, mark = "__row", "__same"
-    while {row, mark} & set(docs.columns):
-        row, mark = row + "_", mark + "_"
-    full = saved(docs.withColumn(mark, _sketches(F.col(text_col), width)).withColumn(row, F.monotonically_increasing_id()), "sketched")
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("k"), F.col(row).alias("r"))
+    row, mark = free(docs.columns, "__row"), free(docs.columns, "__same")
+    full = saved(docs.withColumn(mark, _sketches(col(text_col), width)).withColumn(row, F.monotonically_increasing_id()), "sketched")
+    key = F.struct(col(id_col).isNull().alias("n"), col(id_col).alias("k"), F.col(row).alias("r"))
     lows = saved(full.groupBy(F.col(mark)["same"].alias("same")).agg(F.min(key).alias("low"), F.min(row).alias("any")), "lows")
-    sets = full.join(lows.select(F.col("any").alias(row)), row, "left_semi").select(F.col(mark)["same"].alias("same"), F.col(mark)["n"].alias("n"), F.col(mark)["keys"].alias("keys"), F.col(text_col).alias("text"))
+    sets = full.join(lows.select(F.col("any").alias(row)), row, "left_semi").select(F.col(mark)["same"].alias("same"), F.col(mark)["n"].alias("n"), F.col(mark)["keys"].alias("keys"), col(text_col).alias("text"))
     keep = lows.join(similar(sets, width), "same").groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.r").alias(row))
-    return full.join(keep, row, "left_semi").select(*docs.columns)
+    return full.join(keep, row, "left_semi").select(*all_columns(docs))

@@ -26,12 +26,14 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidemark.llm.batches import batch, columns
 from tidemark.llm.tokens import encoder
+from tidemark.names import col
 from tidemark.scratch import filesystem, new_path, saved
 
 MAGIC = b"TIDETOK1"
 HEAD = struct.Struct("<8s6q")  # magic, documents, ids, documents with a null id, smallest id, bytes of either sequence
 FILE_IDS = 16 << 20  # ids a file, 32 MB
 READ_IDS = 2 << 20  # ids read at a time
+READ_DOCS = 4096  # boundaries decoded at a time
 SAMPLE = 64
 
 
@@ -92,6 +94,21 @@ class EliasFano:
         one = byte * 8 + (word & -word).bit_length() - 1
         return (one - i) << self.low_bits | self._low_at(i)
 
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Values ``i`` to ``j - 1``: the bits between what ``select`` finds for the two ends, and no others."""
+        if j <= i:
+            return np.zeros(0, np.int64)
+        first, last = ((self.select(k) >> self.low_bits) + k for k in (i, j - 1))
+        bits = np.unpackbits(self.high[first // 8 : last // 8 + 1], bitorder="little")
+        ones = np.flatnonzero(bits[first % 8 : last - first // 8 * 8 + 1]) + first
+        out = (ones - np.arange(i, j)).astype(np.int64) << self.low_bits
+        if self.low_bits:
+            start = i * self.low_bits
+            low = np.unpackbits(self.low[start // 8 : (j * self.low_bits + 7) // 8], bitorder="little")[start % 8 :][: (j - i) * self.low_bits].reshape(j - i, self.low_bits)
+            for k in range(self.low_bits):
+                out |= low[:, k].astype(np.int64) << k
+        return out
+
     def values(self) -> np.ndarray:
         """All values."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -118,12 +135,11 @@ class TokenFile:
 
     def __init__(self, handle):
         self.handle = handle
-        magic, self.n, self.n_ids, nulls, low, a, b = HEAD.unpack(handle.read(HEAD.size))
+        magic, self.n, self.n_ids, self.nulls, self.low, a, b = HEAD.unpack(handle.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.ends = EliasFano.from_bytes(handle.read(a))
-        gaps = EliasFano.from_bytes(handle.read(b))
-        self.doc_ids = [None] * nulls + [low + int(v) for v in gaps.values()]
+        self.gaps = EliasFano.from_bytes(handle.read(b))
         self.data = HEAD.size + a + b
 
     def _ids(self, start: int, end: int) -> np.ndarray:
@@ -133,27 +149,30 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self._ids(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """``(number, start, ids)`` for each document."""
-        ends = self.ends.values()
-        starts = np.concatenate([[0], ends[:-1]]) if self.n else ends
-        i = 0
-        while i < self.n:
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + READ_IDS, "right")))
-            ids = self._ids(int(starts[i]), int(ends[j - 1]))
-            for k in range(i, j):
-                yield k, int(starts[k]), ids[starts[k] - starts[i] : ends[k] - starts[i]]
-            i = j
+    def blocks(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """``(doc_id, start, ids)`` for each document; boundaries are decoded for a bounded number of documents at a time."""
+        for i in range(0, self.n, READ_DOCS):
+            j = min(self.n, i + READ_DOCS)
+            bounds = np.concatenate([[self.ends.select(i - 1) if i else 0], self.ends.span(i, j)])
+            known = self.gaps.span(max(0, i - self.nulls), max(0, j - self.nulls))
+            doc_ids = [None] * (j - i - len(known)) + [self.low + int(v) for v in known.view(np.uint64)]
+            a = 0
+            while a < j - i:
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + READ_IDS, "right")) - 1)
+                ids = self._ids(int(bounds[a]), int(bounds[b]))
+                for k in range(a, b):
+                    yield doc_ids[k], int(bounds[k]), ids[bounds[k] - bounds[a] : bounds[k + 1] - bounds[a]]
+                a = b
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` and returns the manifest: path, part, number, n_docs, n_ids, first (ids in files before it).
 
     Ids follow in ascending order over all files; null ids come first; rows with one id are in the order of their
-    texts. A null text is empty and gives the end id alone. Extra columns are not read.
+    texts. A null text is empty and gives the end id alone. An id that is no whole number is an error. Extra columns are not read.
     """
     folder = new_path(docs.sparkSession, "token-files")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text"))  # ascending, nulls first
     rows = rows.sortWithinPartitions("id", F.xxhash64("text"), "text").withColumn("part", F.spark_partition_id())
 
@@ -206,7 +225,7 @@ def read_token_files(manifest: DataFrame, of_document: Callable[[np.ndarray], ob
                 with fs.open_input_file(at) as handle:
                     file = TokenFile(handle)
                     for docs in batched(file.blocks(), 4096):
-                        yield batch([(file.doc_ids[k], first + start, len(ids), of_document(ids)) for k, start, ids in docs], fields)
+                        yield batch([(doc, first + start, len(ids), of_document(ids)) for doc, start, ids in docs], fields)
 
     dealt = manifest.select("path", "first").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4, "path")
     return dealt.mapInArrow(read, from_arrow_schema(pa.schema(fields)))
