@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.names import all_columns, col, free
-from tidemark.scratch import saved, settle
+from tidemark.llm.rows import chosen, keyed_rows
+from tidemark.names import col
+from tidemark.scratch import discard, saved, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 1024
@@ -39,11 +40,13 @@ def _name(keys: DataFrame, by: list[str], label: str) -> DataFrame:
     return saved(keys.distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), label)
 
 
-def block_names(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def block_names(docs: DataFrame, block: int = BLOCK, written: list[DataFrame] | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``rid``, its rounds and name, and the columns ``id`` and ``sha`` given.
 
     ``docs`` has the columns ``id``, ``sha`` and ``norm``. Rows are told apart by ``rid``, so repeated ids do no harm.
+    The tables that the result reads are added to ``written``.
     """
+    written = [] if written is None else written
     pieces = docs.select("id", "sha", _blocks(F.col("norm"), block).alias("b")).withColumn("rid", F.monotonically_increasing_id())
     texts = docs.select(F.explode(_blocks(F.col("norm"), block)).alias("block")).withColumn("h", F.xxhash64("block"))
 
@@ -64,6 +67,7 @@ def block_names(docs: DataFrame, text_col: str = "text", block: int = BLOCK) ->
         occ.select("rid", "pos", "width", "h", F.when(F.col("clash"), F.col("block")).otherwise("").alias("t"), F.when(first, F.col("id")).alias("id"), F.when(first, F.col("sha")).alias("sha")),
         "occ",
     )
+    written += [named, clash, occ]
     settle(docs.sparkSession)
     row = occ.where("pos = 0").select("rid", "id", "sha")
     widest = occ.agg(F.max("width")).first()[0] or 1
@@ -80,6 +84,7 @@ def block_names(docs: DataFrame, text_col: str = "text", block: int = BLOCK) ->
         # A last piece without a neighbour gets a pair of its own kind: c tells it from every name.
         pair = saved(pair.select("rid", "pos", "width", "a", F.coalesce(F.col("b.name"), F.lit(0)).alias("b"), F.col("b").isNotNull().alias("c")), f"pairs{level}")
         names = _name(pair.select("a", "b", "c"), ["a", "b", "c"], f"names{level}")
+        written += [pair, names]
         cur = pair.join(names, ["a", "b", "c"]).select("rid", "pos", "width", "name")
     out = done[0]
     for more in done[1:]:
@@ -111,13 +116,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; all columns as they were.
+    """``docs`` without the rows that :func:`exact_dedup` drops; all columns as they were, whatever their names.
 
-    The rows are written once with a number of their own, so that the decision meets exactly the row it was made for.
+    Rows go by the key of their content, so no copy of the table is written; of rows that are equal in all columns and
+    stay, one stays. ``docs`` is read three times.
     """
-    row = free(docs.columns, "__row")
-    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    base = numbered.select(F.struct(col(id_col).alias("k"), F.col(row).alias("r")).alias("id"), normalised(col(text_col)).alias("norm")).withColumn("sha", F.lit(""))
-    rows = block_names(base, block=block)
-    keep = rows.groupBy("level", "name").agg(F.max("id").alias("best")).select(F.col("best.r").alias(row))
-    return numbered.join(keep, row, "left_semi").select(*all_columns(docs))
+    rows, (a, b) = keyed_rows(docs)
+    base = rows.select(F.struct(col(id_col).alias("k"), F.col(a).alias("r1"), F.col(b).alias("r2")).alias("id"), normalised(col(text_col)).alias("norm")).withColumn("sha", F.lit(""))
+    written: list[DataFrame] = []
+    named = block_names(base, block, written).groupBy("level", "name", "id").agg(F.count("*").alias("c"))
+    picks = saved(named.groupBy("level", "name").agg(F.max(F.struct("id", "c")).alias("best")).select("best.id.r1", "best.id.r2", "best.c"), "picks")
+    for table in written:
+        discard(table)
+    settle(docs.sparkSession)
+    return chosen(docs, picks)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prefix import running
+from tidemark.llm.rows import chosen, keyed_rows
 from tidemark.names import all_columns, col, free
 from tidemark.scratch import saved
 
@@ -104,11 +105,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Documents go whole: where the demand of a source ends inside one, it is taken if that is nearer to the demand.
     Documents without words take no part, since a mix counts words. Rows with null, equal or repeated ids and extra
-    columns of any name stay as they are. Empty tables give empty results.
+    columns of any name stay as they are; of rows that are equal in all columns, one stands for all and is written as often
+    as they are taken. ``docs`` is read twice. Empty tables give empty results.
     """
-    row, place = free(docs.columns, "__row"), free(docs.columns, "__position")
-    full = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    sizes = full.select(F.col(row).alias("row"), col(id_col).alias("id"), col(source_col).alias("source"), n_words(col(text_col)).alias("size"))
+    rows, (a, b) = keyed_rows(docs)
+    sizes = rows.select(F.col(a).alias("r1"), F.col(b).alias("r2"), col(id_col).alias("id"), col(source_col).alias("source"), n_words(col(text_col)).alias("size"))
     plan = assign(sizes, weights, whole=True, **options).where("taken > 0")
-    plan = plan.select(F.col("row").alias(row), F.explode(F.filter("positions", lambda x: x.isNotNull())).alias(place))
-    return full.join(plan, row).repartitionByRange(place, row).sortWithinPartitions(place, row).select(*all_columns(docs))
+    plan = plan.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.flatten(F.collect_list(F.filter("positions", lambda x: x.isNotNull()))).alias("places"))
+    out, place = chosen(docs, saved(plan, "plan"), F.col("places")), free(docs.columns, "__more")
+    return out.repartitionByRange(place, col(id_col)).sortWithinPartitions(place, col(id_col)).select(*all_columns(docs))

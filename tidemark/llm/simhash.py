@@ -16,7 +16,7 @@ are written; adaptive execution may split hot segments.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.names import all_columns, col, free
-from tidemark.scratch import saved
+from tidemark.llm.rows import chosen, keyed_rows
+from tidemark.names import col
+from tidemark.scratch import discard, saved, settle
 
 LINK_BITS, CLOSE_BITS = 4, 2
 #: Balls of more than two flipped bits have too many members to ask for.
@@ -79,6 +80,8 @@ def segments(count: int, bits: int) -> list[tuple[int, int, int]]:
         radii = [(bits + 1) // n - 1 + (k < (bits + 1) % n) for k in range(n)]
         return [(64 - sum(widths[: k + 1]), w, r) for k, (w, r) in enumerate(zip(widths, radii, strict=True))]
 
+    count = max(count, 1)
+
     def cost(parts: list[tuple[int, int, int]]) -> float:
         balls = [(sum(math.comb(w, i) for i in range(r + 1)), w) for _, w, r in parts]
         return sum(count * ball + count * count * ball / 2.0**w for ball, w in balls)
@@ -92,7 +95,7 @@ def _keys(fps: DataFrame, parts: list[tuple[int, int, int]], balls: bool) -> Dat
     for k, (shift, width, radius) in enumerate(parts):
         own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
         flips = [sum(1 << i for i in some) for n in range(radius + 1 if balls else 1) for some in combinations(range(width), n)]
-        out.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(k).alias("segment"), own.bitwiseXOR(x).alias("value"))))  # noqa: B023
+        out.append(F.transform(F.array(*[F.lit(x - (x >> 63 << 64)).cast("long") for x in flips]), lambda x: F.struct(F.lit(k).alias("segment"), own.bitwiseXOR(x).alias("value"))))  # noqa: B023
     return fps.withColumn("key", F.explode(F.concat(*out))).select("fp", "root", "key.*")
 
 
@@ -199,25 +202,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.where(alike("s", "t")).select("a", "b")
 
 
-def similar(sets: DataFrame, width: int) -> DataFrame:
-    """``(same, root)`` for ``sets(same, n, keys, text)``, a row a distinct set: equal roots are one component of links of SIMILAR or more.
+def similar(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+    """``(same, root)`` for ``sets(same, n, keys)``, a row a distinct set: equal roots are one component of links of SIMILAR or more.
 
     First each set meets the smallest of each of its bands, so that dense groups contract by links in proportion to
     their rows; then all pairs of a band meet whose groups are still apart. Sizes that can't reach SIMILAR don't meet.
+    Only the texts of sets that share a band, for which ``texts_of`` is asked, travel and are written.
     """
-    texts = sets.select("same", "text")
-    bands = saved(sets.select("same", "n", F.explode("keys").alias("key")), "bands")
+    spark = sets.sparkSession
+    bands = sets.select("same", "n", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min(F.struct("same", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    shared = saved(shared.select("key", F.col("f.same").alias("y"), F.col("f.n").alias("m")), "shared-bands")
+    bands = saved(bands.join(shared, "key"), "bands")
+    texts = saved(texts_of(bands.select("same").distinct()).dropDuplicates(["same"]), "texts-in-bands")
+    settle(spark)
     fits = F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m") - F.lit(1e-9)
-    first = bands.groupBy("key").agg(F.min(F.struct("same", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", F.col("f.same").alias("y"), F.col("f.n").alias("m"))
-    stars = bands.join(first, "key").where((F.col("same") != F.col("y")) & fits).select(F.col("same").alias("x"), "y").distinct()
-    found = components(_verified(saved(stars.withColumn("a", F.col("x")).withColumn("b", F.col("y")), "stars"), texts, width))
+    stars = saved(bands.where((F.col("same") != F.col("y")) & fits).select(F.col("same").alias("x"), "y", F.col("same").alias("a"), F.col("y").alias("b")).distinct(), "stars")
+    found = components(_verified(stars, texts, width))
+    discard(stars)
+    settle(spark)
     near = saved(_renamed(sets.select("same", F.col("same").alias("root")), found), "stars-roots")
-    apart = bands.join(near, "same")
+    apart = bands.select("same", "n", "key").join(near, "same")
     apart = saved(apart.join(apart.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key"), "key", "left_semi"), "apart")
+    discard(bands)
     left = apart.select("key", F.col("same").alias("x"), "n", F.col("root").alias("a"))
     right = apart.select("key", F.col("same").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"))
-    pairs = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & fits).select("x", "y", "a", "b").distinct()
-    return _renamed(near, components(_verified(saved(pairs, "pairs"), texts, width)))
+    pairs = saved(left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & fits).select("x", "y", "a", "b").distinct(), "pairs")
+    found = components(_verified(pairs, texts, width))
+    for table in (apart, pairs, texts, shared):
+        discard(table)
+    settle(spark)
+    return _renamed(near, found)
 
 
 def _renamed(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -232,10 +247,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     20, and 64 bits in over 20 segments select nothing), so bands of minima of the sets bring the candidates, and
     the sets themselves decide.
     """
-    row, mark = free(docs.columns, "__row"), free(docs.columns, "__same")
-    full = saved(docs.withColumn(mark, _sketches(col(text_col), width)).withColumn(row, F.monotonically_increasing_id()), "sketched")
-    key = F.struct(col(id_col).isNull().alias("n"), col(id_col).alias("k"), F.col(row).alias("r"))
-    lows = saved(full.groupBy(F.col(mark)["same"].alias("same")).agg(F.min(key).alias("low"), F.min(row).alias("any")), "lows")
-    sets = full.join(lows.select(F.col("any").alias(row)), row, "left_semi").select(F.col(mark)["same"].alias("same"), F.col(mark)["n"].alias("n"), F.col(mark)["keys"].alias("keys"), col(text_col).alias("text"))
-    keep = lows.join(similar(sets, width), "same").groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.r").alias(row))
-    return full.join(keep, row, "left_semi").select(*all_columns(docs))
+    rows, (a, b) = keyed_rows(docs)
+    mark, text = _sketches(col(text_col), width), col(text_col)
+    made = rows.select(col(id_col).alias("k"), F.col(a).alias("r1"), F.col(b).alias("r2"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), mark.alias("s"))
+    made = saved(made.select("k", "r1", "r2", "t1", "t2", "s.*"), "sketches")
+    key = F.struct(F.col("k").isNull().alias("n"), "k", "r1", "r2")
+    lows = saved(made.groupBy("same", key.alias("key")).agg(F.count("*").alias("c")).groupBy("same").agg(F.min(F.struct("key", "c")).alias("low")), "lows")
+    sets = saved(made.groupBy("same").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min(F.struct("t1", "t2")).alias("t")), "sets")
+    known = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("string").alias("text"))
+    needed = sets.select("same", "t.t1", "t.t2")
+    roots = similar(sets.select("same", "n", "keys"), lambda ids: known.join(needed.join(ids, "same", "left_semi"), ["t1", "t2"]).select("same", "text"), width)
+    picks = lows.join(roots, "same").groupBy("root").agg(F.min("low").alias("low")).select("low.key.r1", "low.key.r2", "low.c")
+    picks = saved(picks, "picks")
+    for table in (made, lows, sets):
+        discard(table)
+    settle(docs.sparkSession)
+    return chosen(docs, picks)
