@@ -184,9 +184,8 @@ def test_stages_keep_columns(spark, stage):
 
 def test_pipeline_against_brute_force(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    numbers, bias, blank = toxicity.fit(docs, labels)
-    known = toxicity.Known(numbers.tolist())
-    rows = [r for r in docs.collect() if toxicity.score(r["text"], known, bias, blank) < toxicity.THRESHOLD]
+    model = toxicity.fit(docs, labels)
+    rows = [r for r in docs.collect() if toxicity.scores([r["text"]], model)[0] < toxicity.THRESHOLD]
     best = {}
     for r in rows:
         key = low(r["text"])

@@ -19,13 +19,25 @@ def test_long_first_document_is_passed_over(spark):
 
 def test_every_part_of_an_unbroken_text_is_scored():
     model = toxicity.train(["idiot scum", "the of", "idiot", "of the and"] * 6, [1, 0, 1, 0] * 6)
-    score = lambda t: toxicity.score(t, toxicity.Known(model[0].tolist()), *model[1:])
+    score = lambda t: toxicity.scores([t], model)[0]
     assert score("theofand" * 100 + "idiotscum" * 8 + "theofand" * 100) > score("theofand" * 200) + 0.1
     word = "".join(chr(0x4E00 + k) for k in range(1000))
-    pieces = toxicity.words_of(word)
+    words = toxicity.words_of([word])
+    pieces = ["".join(map(chr, words.letters[f + 1 : f + n - 1].tolist())) for f, n in zip(words.first, words.size, strict=True)]
     assert all(any(word[i : i + 6] in p for p in pieces) for i in range(995)) and max(map(len, pieces)) <= 64
 
 
+def test_texts_score_alike_in_any_company(monkeypatch):
+    """Batches and parts of long texts make no difference; a text longer than a part is read to its end."""
+    model = toxicity.train(["idiot scum", "the of", "idiot", "of the and"] * 6, [1, 0, 1, 0] * 6)
+    texts = ["the of", None, "", "(idiot)!", "--- ---", "the of and " * 4000 + "idiot scum", "of" * 9000 + "idiot" + "of" * 9000, "Ünï \u3000 idiot"]
+    alone = [toxicity.scores([t], model)[0] for t in texts]
+    assert toxicity.scores(texts, model) == pytest.approx(alone, abs=1e-9)
+    monkeypatch.setattr(toxicity, "SEGMENT", 1000)
+    assert toxicity.scores(texts, model) == pytest.approx(alone, abs=1e-3)
+    assert alone[5] > toxicity.scores(["the of and " * 4000], model)[0] and alone[1] == alone[2] == model.blank
+
+
 def test_query_columns_and_unspaced_text(spark):
     """held_out and predicted against their definitions, and the scores of the fold never seen."""
     import zlib

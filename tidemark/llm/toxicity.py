@@ -17,8 +17,7 @@ Scoring is one pass over the texts without a shuffle.
 from __future__ import annotations
 
 import math
-import zlib
-from array import array
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
@@ -40,35 +39,100 @@ STEPS, RATE, DECAY = 90, 0.05, 1e-6
 THRESHOLD = 0.7
 #: How much more a toxic document that is missed costs than a clean one that is rejected.
 MISS_COST = 2.0
-#: Words whose number a worker keeps before it starts anew.
-MOST_WORDS = 500_000
-AROUND = ".,;:!?\"'()[]{}<>*_-"
+#: Characters read at a time.
+SEGMENT = 1 << 18
+_SPACE = re.compile(r"\s")
+_MARKS = np.zeros(128, bool)
+_MARKS[[ord(c) for c in ".,;:!?\"'()[]{}<>*_-"]] = True
+#: Odd numbers that hash the letters of a word, and of an n-gram by its length.
+_ODD = np.random.default_rng(3).integers(0, 1 << 63, (GRAMS[-1] + 1, MOST_LETTERS + 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words in lower case; null has none.
+def parts_of(text: str | None) -> Iterator[str]:
+    """The text in lower case, in parts of about SEGMENT characters that end at white space.
 
-    A word of over MOST_LETTERS characters, such as a text without white space, is read as pieces of PIECE characters,
-    each a word of the window; they overlap, so that no n-gram is lost.
+    Where there is none for as long again, a part ends inside a word and the next begins an n-gram earlier.
     """
-    words = (text or "").lower().split()
-    if not words or max(map(len, words)) <= MOST_LETTERS:
-        return words
-    over, out = GRAMS[-1] - 1, []
-    for w in words:
-        out += [w] if len(w) <= MOST_LETTERS else [w[i : i + PIECE] for i in range(0, len(w) - over, PIECE - over)]
-    return out
+    low, i = (text or "").lower(), 0
+    while i < len(low):
+        j = i + SEGMENT
+        space = _SPACE.search(low, j, j + SEGMENT)
+        end = min(len(low), space.start() if space else j)
+        yield low[i:end]
+        i = end if space or end == len(low) else end - GRAMS[-1] + 1
+
 
+class Words(NamedTuple):
+    """The words of some texts, one after the other: the characters of ``<word>``, where each starts, how long it is, and its text."""
 
-def grams_of(word: str) -> list[int]:
-    """Buckets of the word, without punctuation around it, as a whole and of its character n-grams."""
-    w = f"<{word.strip(AROUND) or word}>"
-    if w.isascii():  # bytes are characters: one encoding for all n-grams
-        raw = w.encode()
-        parts = {raw} | {raw[i : i + n] for n in GRAMS for i in range(len(raw) - n + 1)}
-    else:
-        parts = {p.encode("utf-8", "replace") for p in {w} | {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}}
-    return sorted({zlib.crc32(p) % BUCKETS for p in parts})
+    letters: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+
+
+def words_of(texts: Sequence[str]) -> Words:
+    """Words between white space, without punctuation around them, unless they are nothing else.
+
+    A word of over MOST_LETTERS characters, such as a text without white space, is read as pieces of PIECE characters,
+    each a word of the window; they overlap, so that no n-gram is lost.
+    """
+    c = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.concatenate([[True], (c == 32) | ((c >= 9) & (c <= 13)) | (c == 0x85) | (c == 0xA0) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x3000), [True]])
+    change = np.diff(space.astype(np.int8))
+    start, stop = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
+    marks = (c < 128) & _MARKS[np.minimum(c, 127)]
+    s, e = start.copy(), stop.copy()
+    for side, step in ((s, 1), (e, -1)):
+        live = np.arange(len(s))
+        for _ in range(MOST_LETTERS):
+            live = live[(s[live] < e[live])]
+            live = live[marks[side[live] - (step < 0)]]
+            if not len(live):
+                break
+            side[live] += step
+    none = s >= e
+    s[none], e[none] = start[none], stop[none]
+    over, size = GRAMS[-1] - 1, e - s
+    pieces = np.where(size > MOST_LETTERS, -(-(size - over) // (PIECE - over)), 1)
+    if (pieces > 1).any():
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        e = np.repeat(e, pieces)
+        cut = np.repeat(pieces > 1, pieces)
+        s = np.repeat(s, pieces) + number * (PIECE - over)
+        e = np.where(cut, np.minimum(e, s + PIECE), e)
+        size = e - s
+    first = np.cumsum(size + 2) - size - 2
+    letters = np.full(int((size + 2).sum()), ord(">"), np.uint64)
+    letters[first] = ord("<")
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    letters[np.repeat(first + 1, size) + inner] = c[np.repeat(s, size) + inner]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return Words(letters, first, size + 2, np.searchsorted(ends, s, "right"))
+
+
+def grams_of(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(word, bucket)`` of all n-grams, for each length in turn, and of the words as a whole."""
+    x, word = words.letters, np.repeat(np.arange(len(words.size)), words.size)
+    left = words.size[word] - (np.arange(len(x)) - words.first[word])  # letters from here to the end of the word
+    for n in GRAMS:
+        h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+        for k in range(n):
+            h += x[k : len(x) - n + 1 + k] * _ODD[n, k]
+        at = np.flatnonzero(left[: len(h)] >= n)
+        yield word[at], _bucket(h[at])
+    yield np.arange(len(words.size)), _bucket(word_hash(words))
+
+
+def word_hash(words: Words) -> np.ndarray:
+    """A 64-bit hash of each whole word."""
+    place = np.arange(len(words.letters)) - np.repeat(words.first, words.size)
+    return np.add.reduceat((words.letters + np.uint64(1)) * _ODD[0][place], words.first) if len(words.first) else np.zeros(0, np.uint64)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD[1, 0]
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
 
 
 class Model(NamedTuple):
@@ -84,27 +148,41 @@ def train(texts: Iterable[str | None], labels: Iterable[int], seed: int = 7, ste
 
     Without rows, or with one class only, the bias alone gives the share of label 1 (smoothed).
     """
-    kinds: dict[str, int] = {}
-    ids, sizes_of, truth, seen = array("i"), array("q"), array("b"), [0, 0]
-    for text, label in zip(texts, labels, strict=True):  # words become numbers at once: their strings are many
-        words = words_of(text)
+    parts, truth, seen = [], [], [0, 0]
+    for text, label in zip(texts, labels, strict=True):
         seen[label] += 1
-        if words:
-            ids.extend([kinds.setdefault(w.strip(AROUND) or w, len(kinds)) for w in words])
-            sizes_of.append(len(words))
-            truth.append(label)
+        for part in parts_of(text):
+            parts.append(part)
+            truth.append(sum(seen) - 1 << 1 | label)  # the text's number and its label
+    hashes, owner = [], []
+    for i, j in _chunks(parts):
+        words = words_of(parts[i:j])
+        hashes.append(word_hash(words))
+        owner.append(np.array(truth[i:j], np.int64)[words.text])
     blank = (seen[1] + 0.5) / (seen[0] + seen[1] + 1)
-    if len(set(truth)) < 2:
+    owner = np.concatenate([np.zeros(0, np.int64), *owner])
+    marks, lengths = np.unique(owner, return_counts=True)  # texts in order, as their numbers rise
+    y = (marks & 1).astype(np.float64)
+    if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), math.log((seen[1] + 0.5) / (seen[0] + 0.5)), blank)
-    y, tokens, lengths = np.array(truth, np.float64), np.frombuffer(ids, np.int32), np.frombuffer(sizes_of, np.int64)
+    kinds, place, tokens = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    tokens = tokens.astype(np.int32)
     share = np.where(y == 1, MISS_COST / y.sum(), 1 / (len(y) - y.sum())) / (1 + MISS_COST)
-    bag, many = array("i"), array("i")
-    for w in kinds:
-        found = grams_of(w)
-        bag.extend(found)
-        many.append(len(found))
-    del kinds
-    grams, sizes = np.frombuffer(bag, np.int32), np.frombuffer(many, np.int32)
+    # The n-grams of each kind of word, from the place where it is first met.
+    kind_at, before, grams, of_kind = np.full(len(tokens), -1, np.int32), 0, [], []
+    kind_at[place] = np.arange(len(kinds))
+    for (i, j), some in zip(_chunks(parts), hashes, strict=True):
+        mine = kind_at[before : before + len(some)]
+        before += len(some)
+        for word, bucket in grams_of(words_of(parts[i:j])):
+            new = mine[word] >= 0
+            of_kind.append(mine[word[new]])
+            grams.append(bucket[new])
+    del parts, hashes
+    of_kind, grams = np.concatenate(of_kind), np.concatenate(grams)
+    order = np.argsort(of_kind, kind="stable")
+    grams, sizes = grams[order], np.bincount(of_kind, minlength=len(kinds))
+    del of_kind, order
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
     ends = np.cumsum(lengths)
@@ -149,30 +227,46 @@ def train(texts: Iterable[str | None], labels: Iterable[int], seed: int = 7, ste
     return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]), blank)
 
 
-class Known(dict):
-    """The number of each word that a worker has met: the mean of its n-grams' numbers."""
-
-    def __init__(self, numbers: Sequence[float]):
-        self.numbers = numbers
-
-    def __missing__(self, word: str) -> float:
-        bag = grams_of(word)
-        self[word] = out = sum(map(self.numbers.__getitem__, bag)) / len(bag)
-        return out
-
-
-def score(text: str | None, known: Known, bias: float, blank: float) -> float:
-    """The probability of label 1 for the worst window of a text; ``blank`` for a text without words."""
-    words = words_of(text)
-    if not words:
-        return blank
-    if len(known) > MOST_WORDS:
-        known.clear()
-    run = np.zeros(len(words) + 1)
-    np.cumsum(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), out=run[1:])
-    width = min(len(words), WINDOW)
-    z = bias + float((run[width:] - run[:-width]).max()) / width
-    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+def _chunks(parts: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``parts`` with about SEGMENT characters each."""
+    i = size = 0
+    for k, part in enumerate(parts):
+        size += len(part)
+        if size >= SEGMENT:
+            yield i, k + 1
+            i, size = k + 1, 0
+    if i < len(parts):
+        yield i, len(parts)
+
+
+def scores(texts: Sequence[str | None], model: Model) -> list[float]:
+    """For each text the probability of label 1 for its worst window; that of the sample for a text without words."""
+    parts, owner = [], []
+    for k, text in enumerate(texts):
+        for part in parts_of(text):
+            parts.append(part)
+            owner.append(k)
+    values, texts_of = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for i, j in _chunks(parts):
+        words = words_of(parts[i:j])
+        total, count = np.zeros(len(words.size)), np.zeros(len(words.size))
+        for word, bucket in grams_of(words):
+            total += np.bincount(word, model.numbers[bucket], len(total))
+            count += np.bincount(word, minlength=len(total))
+        values.append(total / count)
+        texts_of.append(np.array(owner[i:j], np.int64)[words.text])
+    run = np.concatenate([[0.0], np.cumsum(np.concatenate(values))])
+    ends = np.searchsorted(np.concatenate(texts_of), np.arange(len(texts)), "right")
+    out, a = [], 0
+    for b in ends.tolist():
+        if a == b:
+            out.append(model.blank)
+            continue
+        width = min(b - a, WINDOW)
+        z = model.bias + float((run[a + width : b + 1] - run[a : b + 1 - width]).max()) / width
+        out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+        a = b
+    return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int) -> DataFrame:
@@ -255,15 +349,12 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     Null, empty and wordless texts get the share of label 1 in the sample. Whole texts of any length are read. Repeated rows
     keep their rows; an empty table stays empty. A column that has the new name is replaced.
     """
-    numbers, bias, blank = model
-
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Known(numbers.tolist())  # single look-ups are faster in a list
         for part in parts:
             out = []
             for (texts,) in columns([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["t"])], "t"):
-                out += [score(t, known, bias, blank) for t in texts]
+                out += scores(texts, model)
             yield pd.Series(out, dtype="float64")
 
     return docs.withColumn(score_col, of(col(text_col).cast("string")))
