@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.tails import chi_square_p
 from tidemark.operators.drift import ALPHA, kolmogorov
 from tidemark.operators.running import cumulative
 
@@ -32,8 +33,8 @@ def normal_of(fences: DataFrame) -> DataFrame:
 
 def ks_normal(counts: DataFrame, normals: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``feature, n, statistic, p_value, drift_detected``: production counts against each feature's normal distribution."""
-    run = cumulative(counts.where("n_prod > 0").select("feature", "v", "n_prod"), ["feature"], "v", ["n_prod"])
-    whole = counts.groupBy("feature").agg(F.sum("n_prod").alias("n")).where("n > 0").join(normals, "feature")
+    run, whole = cumulative(counts.where("n_prod > 0").select("feature", "v", "n_prod"), ["feature"], "v", ["n_prod"], ["n"])
+    whole = F.broadcast(whole.join(normals, "feature"))  # a row a feature
     cdf = normal_cdf(F.col("v"), F.col("mu"), F.col("sigma"))
     gap = F.greatest(F.col("cum_n_prod") / F.col("n") - cdf, cdf - (F.col("cum_n_prod") - F.col("n_prod")) / F.col("n"))
     out = run.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.max("n").alias("n"), F.max(gap).alias("statistic"))  # a row a feature
@@ -73,7 +74,7 @@ def kernel_density(counts: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def chi_square(counts: DataFrame) -> DataFrame:
-    """``feature, statistic, dof``: the test of the 2 x k table of category counts, with Yates' correction when k is 2."""
+    """``feature, statistic, dof, p_value``: the test of the 2 x k table of category counts, with Yates' correction when k is 2."""
     whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_prod").alias("all_prod"), F.count("*").alias("k")).where("all_ref > 0 AND all_prod > 0")
     term = F.lit(0.0)
     for n, of in (("n_ref", "all_ref"), ("n_prod", "all_prod")):
@@ -81,4 +82,5 @@ def chi_square(counts: DataFrame) -> DataFrame:
         off = F.abs(F.col(n) - expected)
         off = F.when(F.col("k") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
         term = term + off * off / expected
-    return counts.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.sum(term).alias("statistic"), (F.max("k") - 1).alias("dof"))  # a row a feature
+    out = counts.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.sum(term).alias("statistic"), (F.max("k") - 1).alias("dof"))  # a row a feature
+    return out.withColumn("p_value", chi_square_p("statistic", "dof"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.tails import EXACT_ROWS, exact_ks_p
 from tidemark.operators.running import cumulative
 
 ALPHA, PSI_LIMIT, EPSILON, TERMS = 0.05, 0.2, 0.0001, 100
@@ -26,6 +27,7 @@ def category_key(column: Column, kind: str) -> Column:
 def _long(df: DataFrame, features: list[str], value: str, side: Column | None) -> DataFrame:
     kinds = dict(df.dtypes)
     pick = [(F.col(f).cast("double") if value == "num" else category_key(F.col(f), kinds[f])).alias(f"f{k}") for k, f in enumerate(features)]
+    pick = [F.when(~F.isnan(F.col(f)), c).alias(f"f{k}") if value == "cat" and kinds[f] in ("float", "double") else c for k, (f, c) in enumerate(zip(features, pick, strict=True))]
     wide = df.select((side if side is not None else F.lit(True)).alias("ref"), *pick)
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"f{k}").alias("v")) for k, f in enumerate(features)]))
     rows = wide.select("ref", pairs.alias("p")).select("ref", "p.feature", "p.v").where("ref IS NOT NULL AND v IS NOT NULL")
@@ -55,16 +57,20 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return kolmogorov(d * F.sqrt(n.cast("double") * m / (n + m)))
 
 
-def ks(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def ks(counts: DataFrame, alpha: float = ALPHA, exact: bool = False) -> DataFrame:
     """``feature, kind, n_ref, n_prod, statistic, p_value, drift_detected`` by the two-sample KS test.
 
-    Drift means ``p_value < alpha``. A feature without values on one side has no row.
+    Drift means ``p_value < alpha``. A feature without values on one side has no row. With ``exact``, sides of at most
+    EXACT_ROWS values get the exact p-value.
     """
-    run = cumulative(counts, ["feature"], "v", ["n_ref", "n_prod"])
-    whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_prod").alias("all_prod")).where("all_ref > 0 AND all_prod > 0")
+    run, whole = cumulative(counts, ["feature"], "v", ["n_ref", "n_prod"], ["all_ref", "all_prod"])
+    whole = F.broadcast(whole.where("all_ref > 0 AND all_prod > 0"))  # a row a feature
     gap = F.abs(F.col("cum_n_ref") / F.col("all_ref") - F.col("cum_n_prod") / F.col("all_prod"))
     out = run.join(whole, "feature").groupBy("feature").agg(F.max("all_ref").alias("n_ref"), F.max("all_prod").alias("n_prod"), F.max(gap).alias("statistic"))
     out = out.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_ref"), F.col("n_prod")))
+    if exact:
+        few = out.where(F.greatest("n_ref", "n_prod") <= EXACT_ROWS).withColumn("p_value", exact_ks_p("statistic", "n_ref", "n_prod"))
+        out = out.where(F.greatest("n_ref", "n_prod") > EXACT_ROWS).unionByName(few)
     return out.select("feature", F.lit("continuous").alias("kind"), "n_ref", "n_prod", "statistic", "p_value", (F.col("p_value") < alpha).alias("drift_detected"))
 
 
@@ -92,8 +98,8 @@ def system_alert(report: DataFrame) -> DataFrame:
 
 def fences(counts: DataFrame) -> DataFrame:
     """``feature, q1, q3``: quartiles of the reference side by linear interpolation between order statistics."""
-    run = cumulative(counts.where("n_ref > 0").select("feature", "v", "n_ref"), ["feature"], "v", ["n_ref"])
-    whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("n"))
+    run, whole = cumulative(counts.where("n_ref > 0").select("feature", "v", "n_ref"), ["feature"], "v", ["n_ref"], ["n"])
+    whole = F.broadcast(whole)  # a row a feature
     picks, outs = [], []
     for name, q in (("q1", 0.25), ("q3", 0.75)):
         place = (F.col("n") - 1) * F.lit(q)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.names import col
+
 #: Lines looked at to find a delimiter, and the delimiters tried.
 SNIFF_LINES, DELIMITERS = 20, ",;\t|"
 
@@ -31,16 +33,53 @@ def _head(spark: SparkSession, path: str) -> list[str]:
 
 
 def encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every file is valid, else ISO-8859-1, which accepts any byte. Lines are tested where they are read."""
+    """UTF-8 if every file is valid, else ISO-8859-1, which accepts any byte; :func:`western` turns it into cp1252. Lines are tested where they are read."""
     bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
 
-def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Text with a header line, plain or gzip; the delimiter is found from the first lines unless given."""
+#: What the bytes 80 to 9F mean in cp1252; five of them have no meaning there and stay as they are.
+CP1252 = {k: bytes([k]).decode("cp1252", "ignore") for k in range(0x80, 0xA0)}
+#: Texts that mean that a cell is empty.
+NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def western(df: DataFrame) -> DataFrame:
+    """Text columns read as ISO-8859-1 with the letters that cp1252 has in place of control characters; column names too."""
+    known = {k: v for k, v in CP1252.items() if v}
+    source, target = "".join(map(chr, known)), "".join(known.values())
+    new = lambda n: n.translate({k: v for k, v in known.items()})
+    return df.select(*[(F.translate(col(n), source, target) if t == "string" else col(n)).alias(new(n)) for n, t in df.dtypes])
+
+
+def delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Text with a header line, plain or gzip; the delimiter is found from the first lines unless given.
+
+    Quotes inside quoted cells are doubled; the texts of NULLS are null. A line break inside a quoted cell needs
+    ``multi_line``, with which a file is read by one task, or is found if the first lines hold an open quote.
+    """
     head = _head(spark, path)
     sep = sep or sniff(head)
-    return spark.read.options(header=True, inferSchema=True, sep=sep, encoding=encoding(spark, path), ignoreLeadingWhiteSpace=True).csv(path)
+    multi_line = multi_line or not spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+    kind = encoding(spark, path)
+    raw = spark.read.options(header=True, sep=sep, encoding=kind, escape='"', multiLine=multi_line, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
+    raw = raw.select(*[F.when(~col(n).isin(*NULLS), col(n)).alias(n) for n in raw.columns])
+    return inferred(western(raw) if kind != "UTF-8" else raw)
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """Text columns with the first type that all their values have: whole number, number, boolean, time, or text; one pass."""
+    if not df.columns:
+        return df
+    tries = ("bigint", "double", "boolean", "timestamp")
+    plain = lambda n, t: F.coalesce(F.bool_and((col(n).try_cast(t).isNotNull() & (F.lit(t != "double") | col(n).rlike(r"^[+-]?(\d|\.\d|Inf)")) & (F.lit(t != "boolean") | F.lower(col(n)).isin("true", "false"))) | col(n).isNull()), F.lit(False))
+    row = df.agg(*[F.struct(F.count(col(n)).alias("n"), F.max(F.abs(col(n).try_cast("bigint"))).alias("top"), *[plain(n, t).alias(t) for t in tries]).alias(f"c{k}") for k, n in enumerate(df.columns)]).first()  # one row
+    def of(k: int) -> str | None:
+        kind = next((t for t in tries if row[k]["n"] and row[k][t]), None)
+        return "int" if kind == "bigint" and row[k]["top"] < 1 << 31 else kind
+
+    kinds = [of(k) for k in range(len(df.columns))]
+    return df.select(*[(col(n).try_cast(t) if t else col(n)).alias(n) for n, t in zip(df.columns, kinds, strict=True)])
 
 
 def _typed(df: DataFrame, names: list[str]) -> DataFrame:
@@ -104,17 +143,21 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def arff(spark: SparkSession, path: str) -> DataFrame:
     """ARFF: names from the attribute lines of the header, data rows as delimited text; without attributes, delimited text."""
-    lines = spark.read.text(path).withColumn("at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    lines = spark.read.text(path).withColumn("at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")))
     clean = lines.withColumn("value", F.trim("value")).where("value <> '' AND NOT startswith(value, '%')")
-    header = clean.where(F.col("value").rlike(r"(?i)^@attribute\s")).orderBy("at").select("value").collect()  # a line an attribute
+    # Rows begin after the line @data of their file; a row may begin with @ itself.
+    begin = clean.where(F.lower("value") == "@data").groupBy(F.col("at.file").alias("file")).agg(F.min("at").alias("begin"))  # a row a file
+    body = clean.withColumn("file", F.col("at.file")).join(F.broadcast(begin), "file").where("at > begin")
+    header = clean.withColumn("file", F.col("at.file")).join(F.broadcast(begin), "file", "left").where("begin IS NULL OR at < begin").where(F.col("value").rlike(r"(?i)^@attribute\s")).orderBy("at").select("value").collect()  # a line an attribute
     names = []
     for (line,) in header:
         parts = next(csv.reader([line.replace("\t", " ").replace("'", '"')], delimiter=" ", skipinitialspace=True))
         if len(parts) >= 3:
             names.append(parts[1])
+    names = list(dict.fromkeys(names))  # files of one folder have the same header each
     if not names:
         return delimited(spark, path)
-    return _typed(_columns(clean.where("NOT startswith(value, '@')"), names, ",", "'" if any("'" in h[0] for h in header) else '"'), names)
+    return _typed(_columns(body.select("value"), names, ",", "'" if any("'" in h[0] for h in header) else '"'), names)
 
 
 def libsvm(spark: SparkSession, path: str) -> DataFrame:
@@ -125,18 +168,17 @@ def libsvm(spark: SparkSession, path: str) -> DataFrame:
     keys = [r[0] for r in rows.select(F.explode("e.k").alias("k")).distinct().orderBy("k").collect()]  # a row a column
     if not keys:
         return spaced(spark, path)
-    found = F.map_from_entries("e")
-    return rows.select(*[F.try_element_at(found, F.lit(k)).alias(f"Sensor_{k}") for k in keys])
+    last = lambda k: F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(F.filter("e", lambda x: x["k"] == k), lambda x: x["v"])), -1)  # noqa: E731  the last of a repeated index
+    return rows.select(*[last(k).alias(f"Sensor_{k}") for k in keys])
 
 
 def spaced(spark: SparkSession, path: str) -> DataFrame:
-    """Columns between runs of white space, named by number; delimited text if the first lines hold one column only."""
-    lines = _head(spark, path)
-    width = max((len(line.split()) for line in lines), default=0)
-    if width < 2:
-        return delimited(spark, path)
+    """Columns between runs of white space, named by number; as many as the widest line has; delimited text if that is one."""
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("trim(value) <> ''")
+    width = rows.agg(F.max(F.size(parts))).first()[0] or 0  # one number
+    if width < 2:
+        return delimited(spark, path)
     names = [f"c{k}" for k in range(width)]
     return _typed(rows.select(*[F.get(parts, k).alias(n) for k, n in enumerate(names)]), names)
 
