@@ -270,5 +270,6 @@ def read_packages(manifest: DataFrame, with_payload: bool = False, range_records
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     spans = saved(manifest.select("path").repartition("path").mapInArrow(ranges, "path string, base long, offsets array<long>, sizes array<long>"), "ranges")
-    return spans.repartition("path", "offsets").mapInArrow(fetch, schema)
+    tasks = manifest.sparkSession.sparkContext.defaultParallelism * 4  # small rows that stand for much reading
+    return spans.repartition(tasks, "path", "offsets").mapInArrow(fetch, schema)
 
