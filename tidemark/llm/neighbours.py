@@ -8,8 +8,8 @@ ranked again by their exact cosine.
 
 Scale: vectors of equal direction (up to a power of two) share one row with their smallest ids (``k + 1``, all that can
 ever be among the nearest), so a group of copies is one candidate. Vectors and queries are dealt out by (table,
-bucket), and a task multiplies each bucket's queries with its rows. A bucket of over ``BLOCK`` rows or queries, such as
-that of many near-equal vectors, is split into blocks of that size. A block sends on the few best of each query.
+bucket), and a task multiplies each bucket's queries with its rows and sends on the few best of each query. A bucket of over ``BLOCK`` rows or queries, such as
+that of many near-equal vectors, is split into blocks of that size.
 
 Recall: a bounded sample of the queries is first compared with all rows, a block of rows in a task at a time. The number of
 probes is doubled until the sample's true neighbours are found at the wanted share, whatever the size of the
@@ -32,6 +32,8 @@ from tidemark.scratch import saved
 TABLES, PROBES, PER_BUCKET = 10, 24, 48
 #: Rows or queries of a bucket that are multiplied at once, buckets that are probed together when all are, hot buckets that are broadcast at most.
 BLOCK, TOGETHER, MOST_HOT = 2048, 32, 100_000
+#: Pairs that a task holds before it cuts them to the best of each query.
+HELD = 1_000_000
 #: Share of the sampled queries' true neighbours that the buckets must hold, and how many queries are sampled.
 RECALL, SAMPLE = 0.95, 128
 
@@ -170,6 +172,20 @@ def _split(right: DataFrame, left: DataFrame, block: int) -> tuple[DataFrame, Da
     return right, left
 
 
+def few_best(held: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """Of columns ``(qv, vid, near)`` the distinct pairs with the ``most`` best ``vid`` of each ``qv``; ties to the smaller."""
+    qv, vid, near = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((-near, vid, qv))
+    qv, vid, near = qv[order], vid[order], near[order]
+    new = np.concatenate([[True], (qv[1:] != qv[:-1]) | (vid[1:] != vid[:-1])])
+    qv, vid, near = qv[new], vid[new], near[new]
+    order = np.lexsort((vid, -near, qv))
+    qv, vid, near = qv[order], vid[order], near[order]
+    start = np.searchsorted(qv, qv, "left")
+    keep = np.arange(len(qv)) - start < most
+    return qv[keep], vid[keep], near[keep]
+
+
 def best_pairs(right: DataFrame, left: DataFrame, width: int, most: int, block: int = BLOCK) -> DataFrame:
     """``(qv, vid, near)``: the ``most`` best rows of each query among those that share a key; both sides are ``(key, vid, u)``."""
     right, left = _split(right, left, block)
@@ -177,14 +193,30 @@ def best_pairs(right: DataFrame, left: DataFrame, width: int, most: int, block:
     group = ["key", "part", "qpart"]
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
         def best(vid: np.ndarray, asks: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
             n = len(vid) - int(asks.sum())
             if n == 0 or n == len(vid):
                 return
             for k in range(n, len(vid), 256):
                 near = np.round(x[k : k + 256] @ x[:n].T, 13)
                 top = np.argsort(-near, axis=1, kind="stable")[:, :most]  # rows are in the order of vid
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vid[k : k + 256], top.shape[1])), pa.array(vid[:n][top].ravel()), pa.array(np.take_along_axis(near, top, 1).ravel())], ["qv", "vid", "near"])
+                held.append((np.repeat(vid[k : k + 256], top.shape[1]), vid[:n][top].ravel(), np.take_along_axis(near, top, 1).ravel()))
+                size += top.size
+            if size > HELD:
+                held = [few_best(held, most)]
+                size = len(held[0][0])
+                if size > HELD // 2:  # too many queries to keep: what they have so far goes on
+                    yield from out()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in few_best(held, most)], ["qv", "vid", "near"])
+            held, size = [], 0
 
         ids, vid, asks, x = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, width))
         for part in parts:
@@ -198,6 +230,7 @@ def best_pairs(right: DataFrame, left: DataFrame, width: int, most: int, block:
             last = starts[-1]  # its group may go on
             ids, vid, asks, x = ids[last:], vid[last:], asks[last:], x[last:]
         yield from best(vid, asks, x)
+        yield from out()
 
     dealt = both.repartition(*group).sortWithinPartitions(*group, "asks", "vid")
     pairs = dealt.mapInArrow(of, "qv long, vid long, near double").groupBy("qv", "vid").agg(F.max("near").alias("near"))
@@ -227,6 +260,7 @@ def search(
     base = base.where(F.coalesce(finite, F.lit(False)))
     power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x))))))
     base = base.withColumn("power", power).select("id", "q", F.transform("v", lambda x: (x / F.col("power") + 0.0).cast(kind)).alias("u"))
+    base = saved(base, "usable")
     # Vectors of one direction become one: its smallest ids.
     ids = base.withColumn("place", F.row_number().over(Window.partitionBy("u", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")))
     few = ids.where(F.col("place") <= k + 1).groupBy("u").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
