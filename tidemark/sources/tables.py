@@ -53,9 +53,12 @@ class Store:
             none = F.lit(None).cast("double")
             fences.append(drift.allowed_sets(c).select("feature", F.lit("categorical").alias("kind"), none.alias("q1"), none.alias("q3"), "allowed"))
         for name, parts in (("baselines", counts), ("fences", fences)):
-            self._drop_partition(name, project_id)
             rows = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
-            self._replace(name, rows.withColumn("project_id", F.lit(project_id)))
+            # The write itself replaces the partition once its files are there; without rows there is nothing to write.
+            if rows.isEmpty():
+                self._drop_partition(name, project_id)
+            else:
+                self._replace(name, rows.withColumn("project_id", F.lit(project_id)))
 
     def baseline(self, project_id: str) -> DataFrame:
         return self.table("baselines").where(F.col("project_id") == project_id)
