@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.drift import ALPHA, ks, numeric_counts
+from tidemark.operators.drift import ALPHA, ks_p_value, numeric_counts
+from tidemark.operators.running import cumulative
+from tidemark.scratch import saved
 
 CASE = ["trial", "size", "severity", "share"]
 
@@ -32,8 +34,8 @@ def run(df: DataFrame, key: str, features: Sequence[str], is_reference: Column,
     """``feature, trial, size, severity, share, statistic, p_value, drift_detected`` for each trial and case.
 
     A case is (batch size, shift in standard deviations of the batch, share of the batch that is shifted). Trial t takes the
-    first rows in the hash order of seed t; the rank is cut before the shuffle. Reference values are repeated for each
-    case as counts, so cases multiply distinct values, not rows.
+    first rows in the hash order of seed t; the rank is cut before the shuffle. The largest gap is reached at a value of the
+    batch or just before one, so the reference is read and summed once, and each test looks up its own values.
     """
     side = df.withColumn("__ref", is_reference)
     pool = side.where("NOT __ref").select(key, *features, F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
@@ -46,14 +48,19 @@ def run(df: DataFrame, key: str, features: Sequence[str], is_reference: Column,
     sd = rows.groupBy("feature", *CASE).agg(F.stddev_samp("v").alias("sd"))
     moved = F.col("v") + F.when(F.col("r") <= F.col("share") * F.col("size"), F.col("severity") * F.coalesce("sd", F.lit(0.0))).otherwise(F.lit(0.0))
     batch = rows.join(F.broadcast(sd), ["feature", *CASE]).groupBy("feature", *CASE, moved.alias("v")).agg(F.count("*").alias("n_prod"))  # a row a case
+    batch = saved(batch, "batches")
+    values = batch.select("feature", "v").distinct().withColumn("n_ref", F.lit(0).cast("long"))
     known = numeric_counts(side.where("__ref"), list(features)).select("feature", "v", "n_ref")
-    tests = [(t, n, float(s), float(p)) for t in range(1, trials + 1) for n, s, p in cases]
-    each = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(CASE, test, strict=True)]) for test in tests]))
-    known = known.select("feature", "v", "n_ref", each.alias("c")).select("feature", "v", "n_ref", "c.*")
-    both = known.withColumn("n_prod", F.lit(0).cast("long")).unionByName(batch.withColumn("n_ref", F.lit(0).cast("long")))
-    counts = both.groupBy(F.to_json(F.struct("feature", *CASE)).alias("feature"), "v").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_prod").alias("n_prod"))
-    out = ks(counts, alpha).withColumn("c", F.from_json("feature", "feature string, trial int, size int, severity double, share double"))
-    return out.select("c.*", "statistic", "p_value", "drift_detected")
+    points, whole = cumulative(known.unionByName(values).groupBy("feature", "v").agg(F.sum("n_ref").alias("n_ref")), ["feature"], "v", ["n_ref"], ["all_ref"])
+    points = points.select("feature", "v", "cum_n_ref", (F.col("cum_n_ref") - F.col("n_ref")).alias("below"))
+    test = Window.partitionBy("feature", *CASE)  # at most ``size`` rows
+    drawn = batch.withColumn("cum_n_prod", F.sum("n_prod").over(test.orderBy("v"))).withColumn("all_prod", F.sum("n_prod").over(test))
+    both = drawn.join(points, ["feature", "v"]).join(F.broadcast(whole.where("all_ref > 0")), "feature")  # a row a feature
+    at = F.abs(F.col("cum_n_ref") / F.col("all_ref") - F.col("cum_n_prod") / F.col("all_prod"))
+    before = F.abs(F.col("below") / F.col("all_ref") - (F.col("cum_n_prod") - F.col("n_prod")) / F.col("all_prod"))
+    out = both.groupBy("feature", *CASE).agg(F.max(F.greatest(at, before)).alias("statistic"), F.max("all_ref").alias("n"), F.max("all_prod").alias("m"))
+    out = out.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n"), F.col("m")))
+    return out.select("feature", *CASE, "statistic", "p_value", (F.col("p_value") < alpha).alias("drift_detected"))
 
 
 def detection_rate(results: DataFrame, by: Sequence[str]) -> DataFrame:
