@@ -143,6 +143,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 SIMILAR, BANDS, BAND_ROWS = 0.8, 24, 5
 _ODD, _MASK = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
+#: A task that verifies keeps the sets of the texts it has met, up to so many hashes, then starts anew.
+KEPT_HASHES = 1 << 21
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -191,12 +193,28 @@ def _sketches(text: Column, width: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those of the distinct ``pairs(x, y, a, b)`` whose texts ``texts(same, text)`` reach SIMILAR, as links (a, b)."""
+    """Those of the distinct ``pairs(x, y, a, b)`` whose texts ``texts(same, text)`` reach SIMILAR, as links (a, b).
+
+    A text in many pairs is hashed once a task, not once a pair.
+    """
 
     @F.pandas_udf("boolean")
     def alike(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str | None, np.ndarray] = {}
+        held = 0
+
+        def set_of(t: str | None) -> np.ndarray:
+            nonlocal held
+            if t not in known:
+                if held > KEPT_HASHES:
+                    known.clear()
+                    held = 0
+                known[t] = shingle_set(t, width)
+                held += len(known[t])
+            return known[t]
+
         for left, right in parts:
-            yield pd.Series([jaccard(shingle_set(s, width), shingle_set(t, width)) >= SIMILAR for s, t in zip(left, right, strict=True)], dtype="bool")
+            yield pd.Series([jaccard(set_of(s), set_of(t)) >= SIMILAR for s, t in zip(left, right, strict=True)], dtype="bool")
 
     both = pairs.join(texts.select(F.col("same").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("same").alias("y"), F.col("text").alias("t")), "y")
     return both.where(alike("s", "t")).select("a", "b")
