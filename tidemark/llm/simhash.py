@@ -144,7 +144,7 @@ SIMILAR, BANDS, BAND_ROWS = 0.8, 24, 5
 _ODD, _MASK = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
 #: A task that verifies keeps the sets of the texts it has met, up to so many hashes, then starts anew.
-KEPT_HASHES = 1 << 21
+KEPT_HASHES = 1 << 18
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
