@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Rows turned into Python objects at a time.
 ROWS = 256
+#: Rows of texts that travel to a Python worker at a time, and Spark's setting for it.
+SENT, SENT_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send at most SENT rows to a Python worker at a time; a smaller setting stays.
+
+    Whole texts are long: Spark's 10,000 of them at once, on both sides of the pipe, take more of an executor than the work itself.
+    """
+    if not 0 < int(spark.conf.get(SENT_CONF)) <= SENT:
+        spark.conf.set(SENT_CONF, SENT)
 
 
 def columns(parts: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:

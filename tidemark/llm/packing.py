@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidemark.llm.batches import batch, columns
+from tidemark.llm.batches import batch, columns, small_batches
 from tidemark.llm.tokens import encoder
 from tidemark.names import col
 from tidemark.scratch import saved
@@ -102,6 +102,7 @@ def _places(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
     """The pieces of every document, with the task that cut them and their number among its pieces of that length."""
+    small_batches(docs.sparkSession)
 
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "ids_crc32", "task", "number")] + [("ids", pa.binary())] * with_ids
 

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import small_batches
 from tidemark.llm.components import components
 from tidemark.llm.rows import chosen, keyed_rows
 from tidemark.names import col
@@ -265,6 +266,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     20, and 64 bits in over 20 segments select nothing), so bands of minima of the sets bring the candidates, and
     the sets themselves decide.
     """
+    small_batches(docs.sparkSession)
     rows, (a, b) = keyed_rows(docs)
     mark, text = _sketches(col(text_col), width), col(text_col)
     made = rows.select(col(id_col).alias("k"), F.col(a).alias("r1"), F.col(b).alias("r2"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), mark.alias("s"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import columns
+from tidemark.llm.batches import columns, small_batches
 from tidemark.names import all_columns, col, free
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 8
@@ -349,6 +349,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     Null, empty and wordless texts get the share of label 1 in the sample. Whole texts of any length are read. Repeated rows
     keep their rows; an empty table stays empty. A column that has the new name is replaced.
     """
+    small_batches(docs.sparkSession)
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
