@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, simhash, substrings, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +144,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages by minimum-cut labelling."""
     return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query()
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a sparse ensemble of rules."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.with_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
