@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, quality, simhash, substrings, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, periods, quality, simhash, substrings, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,11 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.with_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of them with a periodic tail."""
+    rows = periods.find_runs(table(spark, sf_dir, "documents"), tails=True).withColumn("best", periods.best_run("runs"))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{n}").alias(n) for n in ("start", "length", "period")], F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
