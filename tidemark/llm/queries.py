@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, periods, quality, simhash, substrings, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, html_text, mixing, neighbours, packing, periods, quality, simhash, spelling, substrings, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,28 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = periods.find_runs(table(spark, sf_dir, "documents"), tails=True).withColumn("best", periods.best_run("runs"))
     told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{n}").alias(n) for n in ("start", "length", "period")], F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+@query(
+    r"""
+    WITH RECURSIVE bits AS (SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+    crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+    once AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM runs WHERE len(w) >= 7 GROUP BY 1, 2),
+    codes AS (SELECT doc_id, w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS bytes FROM once),
+    hashed AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda b: b::BIGINT)), lambda c, b: xor(c // 256, (t[xor(c % 256, b) + 1])::BIGINT)), 4294967295) AS h FROM codes, crc),
+    slips AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, n FROM hashed),
+    words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slips WHERE len(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+    holes AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)),
+    short AS (SELECT DISTINCT h.word AS a, h.n AS a_n, w.word AS b, w.n AS b_n FROM holes h JOIN words w ON h.rest = w.word),
+    near AS (SELECT a, a_n, b, b_n FROM short UNION ALL SELECT b, b_n, a, a_n FROM short
+             UNION ALL SELECT x.word, x.n, y.word, y.n FROM holes x JOIN holes y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+    best AS (SELECT a AS word, count(*) AS n_near, max(b_n) AS form_n, arg_min(b, (-b_n, b)) AS form FROM near GROUP BY 1),
+    told AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS tip, 0 AS k FROM told UNION ALL SELECT c.word, t.form, k + 1 FROM chain c JOIN told t ON c.tip = t.word WHERE t.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM told JOIN (SELECT word, arg_max(tip, k) AS root FROM chain GROUP BY 1) USING (word)
+    """
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents, each 31st with a slip."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=True)
