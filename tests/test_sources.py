@@ -85,7 +85,7 @@ def test_store(spark, tmp_path):
     alert = store.table("alerts").collect()
     assert len(alert) == 1 and alert[0]["owner"] == "b" and "l_quantity" in alert[0]["features"]
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("score", F.lit(0.0)).withColumn("is_ood", F.lit(0))
-    store.append_logs("p 1", events, ["value", "event_type"], "event_id", "ts")
+    store.append_logs(events, ["value", "event_type"], "event_id", "ts", F.lit("p 1"))
     assert store.logs("p 1", 10).count() == 10 and store.logs("p 1").count() == events.count()
     newest = store.logs("p 1", 1).first()
     assert scoring.flattened(store.logs("p 1"), "input_data", ["event_type"]).where("event_type IS NULL").count() == 0 and newest["event_time"] == events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]

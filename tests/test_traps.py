@@ -1,6 +1,7 @@
 """Cases that the tables don't hold, over literal rows."""
 
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +24,35 @@ def test_deviation_cases(spark):
 def test_row_scores_of_several_features(spark):
     events = spark.createDataFrame([(1, "p", 100.0, 5.0, "new"), (2, "p", None, NAN, None), (3, "q", 100.0, 5.0, "new"), (4, "p", 2.0, 5.0, "a")], "id long, project string, x double, y double, c string")
     fences = spark.createDataFrame([("p", "x", "continuous", 1.0, 3.0, None), ("p", "y", "continuous", 5.0, 5.0, None), ("p", "c", "categorical", None, None, "a"), ("p", "z", "continuous", 0.0, 0.0, None)], "project string, feature string, kind string, q1 double, q3 double, value string")
-    got = {r["id"]: (r["score"], r["is_ood"], r["deviations"]) for r in logs.score_events(events, "id", "project", ["x", "y", "c"], fences).collect()}
-    assert got == {1: (45.5, 1, '{"c":1.0,"x":45.5}'), 2: (0.0, 0, "{}"), 3: (0.0, 0, "{}"), 4: (0.0, 0, "{}")}
+    for narrow in (0, 5):
+        got = {r["id"]: (r["score"], r["is_ood"], r["deviations"]) for r in logs.score_events(events, "project", ["x", "y", "c"], fences, narrow).collect()}
+        assert got == {1: (45.5, 1, {"c": 1.0, "x": 45.5}), 2: (0.0, 0, {}), 3: (0.0, 0, {}), 4: (0.0, 0, {})}
+
+
+def test_scores_of_repeated_ids_and_clashing_names(spark):
+    """Rows with one id, in one project and in two, null projects, names that the operator uses itself."""
+    rows = [(1, "p", 100.0, 'a"b', 7), (1, "q", 2.0, "new", 7), (1, "p", 2.0, "new", 8), (1, None, 900.0, "new", 9), (2, "r", 900.0, "x", 9)]
+    events = spark.createDataFrame(rows, 'id long, project string, `x.y` double, `c"` string, __fences int')
+    fences = spark.createDataFrame([(p, f, k, a, b, v) for p in ("p", "q") for f, k, a, b, v in (("x.y", "continuous", 1.0, 3.0, None), ("x.y", "continuous", 1.0, 3.0, None), ('c"', "categorical", None, None, 'a"b'), ('c"', "categorical", None, None, None))], "project string, feature string, kind string, q1 double, q3 double, value string")
+    for narrow, most in ((0, 9), (9, 9), (9, 0), (0, 0)):
+        scored = logs.score_events(events, "project", ["x.y", 'c"'], fences, narrow, most)
+        assert scored.columns == [*events.columns, "score", "is_ood", "deviations"]
+        got = sorted((str(r["project"]), r["x.y"], r["score"], tuple(sorted(r["deviations"].items()))) for r in scored.collect())
+        assert got == [("None", 900.0, 0.0, ()), ("p", 2.0, 1.0, (('c"', 1.0),)), ("p", 100.0, 45.5, (("x.y", 45.5),)), ("q", 2.0, 1.0, (('c"', 1.0),)), ("r", 900.0, 0.0, ())]
+    assert logs.score_events(events, "project", ["x.y"], fences.limit(0)).agg(F.sum("is_ood")).first()[0] == 0
+    assert logs.score_events(events, "project", [], fences).count() == 5
+
+
+def test_events_are_not_shuffled(spark):
+    events = spark.range(1000).select("id", (F.col("id") % 3).cast("string").alias("project"), F.rand(1).alias("x"), F.lit("a").alias("c"))
+    fences = logs.project_fences(events, "project", ["x", "c"])
+    plan = logs.score_events(events, "project", ["x", "c"], fences)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and not any("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_merged_maps(spark):
+    frame = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": 4}), (None, {"x": 1}), ({"y": 1}, None), (None, None)], "o map<string,int>, n map<string,int>")
+    assert [r[0] for r in frame.select(logs.merged_maps(F.col("o"), F.col("n"))).collect()] == [{"a": 1, "b": 3, "c": 4}, {"x": 1}, {"y": 1}, {}]
 
 
 def counted(spark, old, new, kind):
@@ -104,10 +132,25 @@ def test_quoted_text(spark, tmp_path):
 
 
 def test_profile_labels(spark):
-    """The eight-row table whose labels are known, by the cascade's own rules."""
-    rows = [(f"U10{k + 1}", (25, 30, 45, 22, 50, 35, 28, 40)[k], (1.5, 2.0, None, 3.0, 1.0, 2.5, 9.0, 4.0)[k], ("Basic", "Pro", "Basic", "Enterprise", "Basic", "Pro", "Basic", "Pro")[k], (1, 0, 1, 1, 0, 1, 0, 1)[k], f"2023-01-0{k + 1}", None, k) for k in range(8)]
-    frame = spark.createDataFrame(rows, "User_ID string, Age int, Salary double, Tier string, Active int, Signup string, Blank string, n int")
-    got = {r["name"]: (r["decision"], r["best_guess"]) for r in profile.profile(frame, "n").where("name <> 'n'").collect()}
-    assert {n: d for n, (d, _) in got.items()} == {"User_ID": "ignore", "Age": "categorical", "Salary": "continuous", "Tier": "categorical", "Active": "categorical", "Signup": "ignore", "Blank": "ignore"}
+    """A column for each rule of the cascade, built so that this rule is the first that holds."""
+    n = 120
+    columns = {
+        "hole": ("double", lambda k: None, "empty", "ignore"),
+        "flat": ("string", lambda k: "on", "near_constant", "ignore"),
+        "when": ("timestamp", lambda k: datetime(2020, 1, 1 + k * 7 % 28), "datetime", "ignore"),
+        "rising": ("double", lambda k: k * k / 7, "monotonic", "ignore"),
+        "colour": ("string", lambda k: ("red", "green", "blue")[k * 7 % 3], "few_texts", "categorical"),
+        "wheels": ("int", lambda k: k * 5 % 4, "few_integers", "categorical"),
+        "weight": ("double", lambda k: (k * 37 % n) / 3, "numbers", "continuous"),
+        "part": ("string", lambda k: f"ZX{k * 37 % n:03d}-Q{k * 11 % n:03d}", "code", "ignore"),
+        "mail": ("string", lambda k: f"user {k * 37 % n} of {n}", "identifier", "ignore"),
+        "note": ("string", lambda k: "so many words " * (1 + k * 37 % 80), "free_text", "ignore"),
+        "tag": ("string", lambda k: f"t{k * 7 % 55}", "unclear", "review"),
+        "order": ("int", lambda k: k, "monotonic", "ignore"),
+    }
+    rows = [tuple(make(k) for _, make, _, _ in columns.values()) for k in range(n)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, (t, *_) in columns.items()))
+    got = {r["name"]: (r["reason_code"], r["decision"]) for r in profile.profile(frame, "order").collect()}
+    assert got == {c: (why, kind) for c, (_, _, why, kind) in columns.items()}
     flags = profile.profile(spark.createDataFrame([(k % 2 == 0, k) for k in range(10)], "flag boolean, n int")).where("name = 'flag'").first()
     assert (flags["decision"], flags["best_guess"]) == ("review", "ignore")

@@ -7,6 +7,8 @@ combined before the shuffle; running sums spread a feature with very many values
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +78,10 @@ def ks(counts: DataFrame, alpha: float = ALPHA, exact: bool = False) -> DataFram
 
 def psi(counts: DataFrame, limit: float = PSI_LIMIT, epsilon: float = EPSILON) -> DataFrame:
     """The same columns by the Population Stability Index; ``p_value`` is null. A share of zero counts as ``epsilon``."""
-    whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_prod").alias("all_prod")).where("all_ref > 0 AND all_prod > 0")
+    whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_prod").alias("all_prod")).where("all_ref > 0 AND all_prod > 0")  # a row a feature
     share = lambda n, of: F.when(F.col(n) == 0, F.lit(epsilon)).otherwise(F.col(n) / F.col(of))
     e, a = share("n_ref", "all_ref"), share("n_prod", "all_prod")
-    out = counts.join(whole, "feature").groupBy("feature").agg(F.max("all_ref").alias("n_ref"), F.max("all_prod").alias("n_prod"), F.sum((a - e) * F.ln(a / e)).alias("statistic"))
+    out = counts.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.max("all_ref").alias("n_ref"), F.max("all_prod").alias("n_prod"), F.sum((a - e) * F.ln(a / e)).alias("statistic"))
     return out.select("feature", F.lit("categorical").alias("kind"), "n_ref", "n_prod", "statistic", F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > limit).alias("drift_detected"))
 
 
@@ -96,23 +98,25 @@ def system_alert(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.bool_or("drift_detected"), F.lit(False)).alias("alert"), F.count_if("drift_detected").alias("n_drifted"), names.alias("features"))
 
 
-def fences(counts: DataFrame) -> DataFrame:
-    """``feature, q1, q3``: quartiles of the reference side by linear interpolation between order statistics."""
-    run, whole = cumulative(counts.where("n_ref > 0").select("feature", "v", "n_ref"), ["feature"], "v", ["n_ref"], ["n"])
-    whole = F.broadcast(whole)  # a row a feature
+def fences(counts: DataFrame, group: Sequence[str] = ("feature",)) -> DataFrame:
+    """``<group>, q1, q3``: quartiles of the reference side by linear interpolation between order statistics."""
+    keys = list(group)
+    run, whole = cumulative(counts.where("n_ref > 0").select(*keys, "v", "n_ref"), keys, "v", ["n_ref"], ["n"])
+    if keys == ["feature"]:
+        whole = F.broadcast(whole)  # a row a feature
     picks, outs = [], []
     for name, q in (("q1", 0.25), ("q3", 0.75)):
         place = (F.col("n") - 1) * F.lit(q)
         at = lambda p: F.min(F.when(F.col("cum_n_ref") > p, F.col("v")))
         picks += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high"), F.max(place - F.floor(place)).alias(f"{name}_part")]
         outs.append((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_part")).alias(name))
-    return run.join(whole, "feature").groupBy("feature").agg(*picks).select("feature", *outs)
+    return run.join(whole, keys).groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
     """``feature, value, n, share`` of the reference side."""
     whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"))
-    return counts.where("n_ref > 0").join(whole, "feature").select("feature", F.col("v").alias("value"), F.col("n_ref").alias("n"), (F.col("n_ref") / F.col("all_ref")).alias("share"))
+    return counts.where("n_ref > 0").join(F.broadcast(whole), "feature").select("feature", F.col("v").alias("value"), F.col("n_ref").alias("n"), (F.col("n_ref") / F.col("all_ref")).alias("share"))
 
 
 def allowed_sets(counts: DataFrame) -> DataFrame:

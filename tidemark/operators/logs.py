@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.names import all_columns, col
-from tidemark.operators import scoring
+from tidemark.names import all_columns, col, free
+from tidemark.operators import drift, scoring
 from tidemark.operators.drift import category_key
 from tidemark.scratch import saved
 
@@ -34,33 +34,80 @@ def without_gaps(df: DataFrame, numbers: bool) -> DataFrame:
 def project_fences(df: DataFrame, project: str, features: list[str]) -> DataFrame:
     """``project, feature, kind, q1, q3, value``: quartiles of each number, and a row for each value of the others.
 
-    The kind follows from the column's type, as the values' own type does; a feature without values has no row.
+    The kind follows from the column's type, as the values' own type does; a feature without values has no row. Order
+    statistics come from running counts over ranges, so a feature of many values is spread over tasks.
     """
-    cells = features_of(df, [project], features).withColumnRenamed(project, "project").groupBy("project", "feature", "num", "cat").agg(F.count("*").alias("n"))
-    q = F.percentile("num", F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
-    numbers = cells.where("num IS NOT NULL AND NOT isnan(num)").groupBy("project", "feature").agg(q.alias("q"))
-    numbers = numbers.select("project", "feature", F.lit("continuous").alias("kind"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), F.lit(None).cast("string").alias("value"))
+    cells = features_of(df, [project], features).withColumnRenamed(project, "project")
+    cells = saved(cells.groupBy("project", "feature", "num", "cat").agg(F.count("*").alias("n_ref")), "cells")
+    numbers = drift.fences(cells.where("num IS NOT NULL AND NOT isnan(num)").select("project", "feature", F.col("num").alias("v"), "n_ref"), ["project", "feature"])
     none = F.lit(None).cast("double")
+    numbers = numbers.select("project", "feature", F.lit("continuous").alias("kind"), "q1", "q3", F.lit(None).cast("string").alias("value"))
     return numbers.unionByName(cells.where("cat IS NOT NULL").select("project", "feature", F.lit("categorical").alias("kind"), none.alias("q1"), none.alias("q3"), F.col("cat").alias("value")))
 
 
-def score_events(events: DataFrame, key: str, project: str, features: list[str], fences: DataFrame) -> DataFrame:
-    """``key, score, is_ood, deviations`` of every event against ``fences(project, feature, kind, q1, q3)`` and the ``allowed`` values.
-
-    ``fences`` has a row for each number and, for a categorical feature, a row for each allowed value (``value``).
-    Features without a fence are skipped; an event without a known feature scores 0. ``deviations`` is a JSON object of
-    those above 0, in order. Fences meet the cells in joins on (project, feature), allowed values on the value too.
+#: Allowed values of a feature that travel inside its project's row; wider features are looked up by a join.
+NARROW = 200
+#: Rows of packed fences (one a project) that are sent to every task; more are met by a shuffle.
+MOST_PROJECTS = 20_000
+
+
+def packed_fences(fences: DataFrame, narrow: int = NARROW) -> DataFrame:
+    """A row a project: ``numbers``, quartiles by feature; ``narrow``, allowed values of features with at most ``narrow`` of them; ``wide``, the names of the others."""
+    q = F.struct(F.col("q1").cast("double").alias("q1"), F.col("q3").cast("double").alias("q3"))
+    few = fences.where("kind = 'categorical'").groupBy("project", "feature").agg(F.count_distinct("value").alias("n"))
+    values = fences.where("kind = 'categorical'").join(few.where(F.col("n") <= narrow), ["project", "feature"])
+    values = values.groupBy("project", "feature").agg(F.collect_set("value").alias("values"))  # at most ``narrow``
+    none = F.lit(None)
+    numbers = fences.where("kind = 'continuous'").groupBy("project", "feature").agg(F.min(q).alias("q"))
+    rows = numbers.select("project", "feature", "q", none.cast("array<string>").alias("values"), F.lit(False).alias("w"))
+    rows = rows.unionByName(values.select("project", "feature", none.cast("struct<q1:double,q3:double>").alias("q"), "values", F.lit(False).alias("w")))
+    rows = rows.unionByName(few.where(F.col("n") > narrow).select("project", "feature", none.cast("struct<q1:double,q3:double>").alias("q"), none.cast("array<string>").alias("values"), F.lit(True).alias("w")))
+    pick = lambda c: F.map_from_entries(F.array_agg(F.when(F.col(c).isNotNull(), F.struct("feature", c))))  # noqa: E731  null where there is none
+    out = rows.groupBy("project").agg(pick("q").alias("numbers"), pick("values").alias("narrow"), F.collect_list(F.when(F.col("w"), F.col("feature"))).alias("wide"))
+    return out.select("project", *[F.coalesce(n, F.expr(f"CAST(map() AS {t})")).alias(n) for n, t in (("numbers", "map<string,struct<q1:double,q3:double>>"), ("narrow", "map<string,array<string>>"))], "wide")
+
+
+def score_events(events: DataFrame, project: str, features: list[str], fences: DataFrame, narrow: int = NARROW, most_projects: int = MOST_PROJECTS) -> DataFrame:
+    """``events`` with ``score``, ``is_ood`` and ``deviations``, a map of the features that deviate and by how much.
+
+    ``fences(project, feature, kind, q1, q3, value)`` has a row for each number and one for each allowed value of a
+    categorical feature. They become one row a project, which meets the events once; deviations are computed in the row,
+    so ids may repeat and no event is shuffled while there are at most ``most_projects`` of them. A feature that has more than ``narrow``
+    allowed values in some project is looked up by a join on (project, value). Features without a fence, null
+    projects and projects without fences deviate in nothing: score 0 and an empty map. Streams may be scored against a
+    static table of fences; the number of projects and the wide features are read when the stream starts.
     """
-    cells = features_of(events, [key, project], features).withColumnRenamed(project, "project")
-    numbers = fences.where("kind = 'continuous'").select("project", "feature", "q1", "q3")
-    known = fences.where("kind = 'categorical'").select("project", "feature").distinct()
-    allowed = fences.where("kind = 'categorical'").select("project", "feature", F.col("value").alias("cat"), F.lit(True).alias("ok")).distinct()
-    far = cells.where("num IS NOT NULL").join(numbers, ["project", "feature"]).select(key, "feature", scoring.deviation(F.col("num"), F.col("q1"), F.col("q3")).alias("d"))
-    new = cells.where("cat IS NOT NULL").join(known, ["project", "feature"]).join(allowed, ["project", "feature", "cat"], "left").select(key, "feature", F.when(F.col("ok"), 0.0).otherwise(1.0).alias("d"))
-    found = far.unionByName(new).where("d > 0").groupBy(key).agg(F.max("d").alias("score"), F.sort_array(F.collect_list(F.struct("feature", F.round("d", 6).alias("d")))).alias("each"))
-    text = F.concat(F.lit("{"), F.array_join(F.transform("each", lambda x: F.concat(F.lit('"'), x["feature"], F.lit('":'), x["d"].cast("string"))), ","), F.lit("}"))
-    out = events.select(col(key)).join(found, key, "left")
-    return out.select(key, F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().cast("int").alias("is_ood"), F.coalesce(text, F.lit("{}")).alias("deviations"))
+    taken = [*events.columns, "score", "is_ood", "deviations"]
+    pack = saved(packed_fences(fences, narrow), "fences")
+    wide = sorted({r[0] for r in pack.select(F.explode("wide")).distinct().collect()} & set(features))  # a row a column
+    side = pack.select(F.col("project").alias(p := free(taken, "__project")), F.struct("numbers", "narrow").alias(m := free(taken, "__fences")))
+    small = pack.limit(most_projects + 1).count() <= most_projects
+    rows = events.join(F.broadcast(side) if small else side, col(project) == F.col(p), "left")
+    found = {}
+    for f in wide:
+        k = free([*taken, p, m, *found.values()], f"__wide{len(found)}")
+        known = fences.where((F.col("kind") == "categorical") & (F.col("feature") == f) & F.col("value").isNotNull())
+        known = known.select(F.col("project").alias(a := free([*rows.columns, k], "__p")), F.col("value").alias(b := free([*rows.columns, k], "__v")), F.lit(True).alias(k)).distinct()
+        rows = rows.join(known, (col(project) == F.col(a)) & (col(f).cast("string") == F.col(b)), "left").drop(a, b)
+        found[f] = k
+    if wide:
+        names = pack.select(F.col("project").alias(w := free([*rows.columns], "__w")), F.col("wide").alias(ws := free([*rows.columns], "__names")))
+        rows = rows.join(F.broadcast(names) if small else names, col(project) == F.col(w), "left").drop(w)
+    kinds, each = dict(events.dtypes), []
+    for f in features:
+        if is_number(kinds[f]):
+            fence = F.col(m)["numbers"][f]
+            d = scoring.deviation(col(f), fence["q1"], fence["q3"])
+        else:
+            d = scoring.unknown(col(f), F.col(m)["narrow"][f])
+            if f in found:
+                d = F.when(F.array_contains(ws, f), F.when(col(f).isNotNull() & F.col(found[f]).isNull(), 1.0).otherwise(0.0)).otherwise(d)
+        each.append(F.coalesce(d, F.lit(0.0)))
+    entries = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*each)) if features else F.expr("CAST(map() AS map<string,double>)")
+    far = F.map_filter(entries, lambda _, d: d > 0)
+    rows = rows.select(*[col(n) for n in events.columns if n.lower() not in ("score", "is_ood", "deviations")], far.alias("deviations"))
+    score = F.coalesce(F.array_max(F.map_values("deviations")), F.lit(0.0))
+    return rows.select(*[col(n) for n in rows.columns if n != "deviations"], score.alias("score"), (score > 0).cast("int").alias("is_ood"), "deviations")
 
 
 def unknown_values(cells: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -80,7 +127,7 @@ def without_baseline(requests: DataFrame, baselines: DataFrame) -> DataFrame:
     return requests.select("project").distinct().join(baselines.select("project"), "project", "left_anti")
 
 
-def in_sequence(logs: DataFrame, order: list[str], label: str = "Window Req #") -> DataFrame:
+def in_sequence(logs: DataFrame, order: list[str], label: str = "Log ") -> DataFrame:
     """``logs`` with ``timeline``, a label with the place of the row in time; places come from ranges, not from one task."""
     rows = saved(logs.repartitionByRange(*order).withColumn("__at", F.spark_partition_id()), "ranged")
     before = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
@@ -101,11 +148,12 @@ def usable(cells: DataFrame, least: int = 2) -> DataFrame:
 
 
 def frequency_table(df: DataFrame, column: str) -> DataFrame:
-    """``place, value, n, share, categories``: the most frequent first, ties by value; one row a category."""
+    """``place, value, n, share, categories``: the most frequent first, ties by value; places come from ranges, not from one task."""
     counts = df.select(category_key(col(column), dict(df.dtypes)[column]).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    counts = saved(counts, "counts")
     whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("categories"))  # one row
-    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "value"))  # a row a category
-    return counts.crossJoin(F.broadcast(whole)).select(place.alias("place"), "value", "n", (F.col("n") / F.col("total")).alias("share"), "categories")
+    placed = in_sequence(counts.withColumn("rare", -F.col("n")), ["rare", "value"], "")
+    return placed.crossJoin(F.broadcast(whole)).select(F.col("timeline").cast("int").alias("place"), "value", "n", (F.col("n") / F.col("total")).alias("share"), "categories")
 
 
 def beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -118,6 +166,12 @@ def merged(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*key), key, "left_anti"))
 
 
+def merged_maps(old: Column, new: Column) -> Column:
+    """One map of two, in which the values of ``new`` win; null counts as an empty map."""
+    a, b = (F.coalesce(m, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))) for m in (old, new))
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
 def judged(truth: DataFrame, detections: DataFrame, key: str = "feature") -> DataFrame:
     """``key, truth, detected`` for every detection and every truth; what one of them lacks counts as stable, not detected."""
     out = truth.select(key, "truth").join(detections.select(key, "detected"), key, "full_outer")

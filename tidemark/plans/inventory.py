@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import densities, drift, logs, profile, scoring, trials
 from tidemark.plans.analysis import KINDS, _profile_sql, _trials_sql
-from tidemark.plans.queries import _SCORED, SPLIT, _scored, is_reference, query, rounded, table
+from tidemark.plans.queries import _KS, _REPORT, _SCORED, CATEGORIES, NUMBERS, SPLIT, _scored, is_reference, query, rounded, table
 from tidemark.scratch import new_path
 from tidemark.sources import readers
 from tidemark.sources.tables import Store
+from tidemark.streaming import streams
 
 _E = """WITH e AS (SELECT event_id, event_type AS project, user_id, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value, (props::JSON ->> '$.k')::BIGINT AS k, CASE WHEN event_id % 11 <> 0 THEN 'u' || (user_id % 40) END AS bucket FROM events)"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gappy(table(spark, sf_dir, "events"))
+
+
+def _gappy(events: DataFrame) -> DataFrame:
     """Events with gaps: a project, two numbers and a category."""
     k = F.from_json("props", "k long")["k"]
     bucket = F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("project"), "user_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), k.alias("k"), bucket.alias("bucket"))
+    return events.select("event_id", F.col("event_type").alias("project"), "user_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), k.alias("k"), bucket.alias("bucket"))
 
 
 FEATURES = ["value", "k", "bucket"]
@@ -64,7 +69,7 @@ def prj9_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.anomalies(_scored(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value"))), "value").select("event_id")
 
 
-@query(_SCORED + " SELECT 'Window Req #' || row_number() OVER (ORDER BY ts, event_id) AS timeline, is_ood, round(score, 9) AS score, event_id, value FROM scored")
+@query(_SCORED + " SELECT 'Log ' || row_number() OVER (ORDER BY ts, event_id) AS timeline, is_ood, round(score, 9) AS score, event_id, value FROM scored")
 def prj10_audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs in order of time, labelled with their place."""
     return rounded(logs.in_sequence(_scored(spark, sf_dir), ["ts", "event_id"]).select("timeline", "is_ood", "score", "event_id", "value"), "score")
@@ -104,19 +109,37 @@ def jn2_shared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FENCES = "q AS (SELECT project, feature, quantile_cont(num, 0.25) AS q1, quantile_cont(num, 0.75) AS q3 FROM c WHERE event_id % 3 <> 0 AND num IS NOT NULL GROUP BY 1, 2), a AS (SELECT DISTINCT project, feature, cat FROM c WHERE event_id % 3 <> 0 AND cat IS NOT NULL AND cat < 'u3')"
 
 
-@query(
-    f"""{_E}, {_CELLS}, {_FENCES},
+_SCORES = f"""{_E}, {_CELLS}, {_FENCES},
     d AS (SELECT event_id, c.feature, CASE WHEN num < q1 - 3 * (q3 - q1) THEN CASE WHEN q3 = q1 THEN 1.0 ELSE (q1 - 3 * (q3 - q1) - num) / (q3 - q1) END WHEN num > q3 + 3 * (q3 - q1) THEN CASE WHEN q3 = q1 THEN 1.0 ELSE (num - q3 - 3 * (q3 - q1)) / (q3 - q1) END ELSE 0.0 END AS d
           FROM c JOIN q USING (project, feature) WHERE num IS NOT NULL
           UNION ALL SELECT event_id, feature, (NOT EXISTS (SELECT 1 FROM a WHERE a.project = c.project AND a.cat = c.cat))::INTEGER FROM c WHERE cat IS NOT NULL AND project IN (SELECT project FROM a)),
-    s AS (SELECT event_id, max(d) AS score, count(*) AS n FROM d WHERE d > 0 GROUP BY 1)
-    SELECT event_id, round(coalesce(score, 0), 6) AS score, (score IS NOT NULL)::INTEGER AS is_ood FROM e LEFT JOIN s USING (event_id)"""
-)
+    s AS (SELECT event_id, max(d) AS score, count(*) AS n FROM d WHERE d > 0 GROUP BY 1)"""
+
+
+@query(f"{_SCORES} SELECT event_id, round(coalesce(score, 0), 6) AS score, (score IS NOT NULL)::INTEGER AS is_ood FROM e LEFT JOIN s USING (event_id)")
 def st6_jn1_event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event against the fences and allowed values of its own project, over three features."""
     events = _events(spark, sf_dir)
     fences = logs.project_fences(events.where("event_id % 3 <> 0"), "project", FEATURES).where("value IS NULL OR value < 'u3'")
-    return logs.score_events(events, "event_id", "project", FEATURES, fences).select("event_id", F.round("score", 6).alias("score"), "is_ood")
+    return logs.score_events(events, "project", FEATURES, fences).select("event_id", F.round("score", 6).alias("score"), "is_ood")
+
+
+@query(f"{_SCORES} SELECT event_id, feature, round(d, 6) AS deviation FROM d WHERE d > 0")
+def st6_deviation_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each event's map of deviations, with allowed values looked up by a join where there are over ten."""
+    events = _events(spark, sf_dir)
+    fences = logs.project_fences(events.where("event_id % 3 <> 0"), "project", FEATURES).where("value IS NULL OR value < 'u3'")
+    scored = logs.score_events(events, "project", FEATURES, fences, narrow=10)
+    return scored.select("event_id", F.explode("deviations").alias("feature", "deviation")).withColumn("deviation", F.round("deviation", 6))
+
+
+@query(f"{_SCORES} SELECT event_id // 5 AS visit, project, round(coalesce(score, 0), 6) AS score, (score IS NOT NULL)::INTEGER AS is_ood FROM e LEFT JOIN s USING (event_id)")
+def st6_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose ids repeat, within a project and between projects: every row has its own score."""
+    events = _events(spark, sf_dir)
+    fences = logs.project_fences(events.where("event_id % 3 <> 0"), "project", FEATURES).where("value IS NULL OR value < 'u3'")
+    visits = events.withColumn("visit", F.floor(F.col("event_id") / 5))
+    return logs.score_events(visits, "project", FEATURES, fences).select("visit", "project", F.round("score", 6).alias("score"), "is_ood")
 
 
 @query(f"{_E}, {_CELLS} SELECT event_id, feature, cat FROM c WHERE cat IS NOT NULL AND cat NOT IN (SELECT DISTINCT bucket FROM e WHERE user_id < 30 AND bucket IS NOT NULL)")
@@ -185,12 +208,21 @@ def val3_agg21_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.recall_by(_study(spark, sf_dir), "scenario", "feature")
 
 
-@query("SELECT 'l_tax' AS feature, true AS truth, false AS detected UNION ALL SELECT 'l_discount', false, true UNION ALL SELECT 'l_quantity', true, true FROM (SELECT 1 FROM lineitem LIMIT 1)")
+_JUDGED = ["l_quantity", "l_tax", "l_discount"]
+
+
+@query(
+    f"""WITH t AS (SELECT feature, p < 0.05 AS truth FROM (WITH {_KS} SELECT * FROM kp) WHERE feature <> 'l_discount'),
+    d AS (SELECT feature, p < 0.05 AS detected FROM (WITH {_KS.replace("FROM lineitem", "FROM (SELECT * REPLACE (l_quantity + 2 * (l_shipdate >= TIMESTAMP '1996-01-01')::INTEGER AS l_quantity) FROM lineitem WHERE l_orderkey % 2 = 0)")} SELECT * FROM kp) WHERE feature <> 'l_tax')
+    SELECT feature, coalesce(truth, false) AS truth, coalesce(detected, false) AS detected FROM t FULL JOIN d USING (feature) WHERE feature <> 'l_extendedprice'"""
+)
 def jn7_truth_and_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of lineitem with a truth, a detection or both; what is missing counts as stable or not detected."""
-    names = drift.numeric_counts(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax", "l_discount"]).select("feature").distinct()
-    truth = names.where("feature <> 'l_discount'").withColumn("truth", F.lit(True))
-    return logs.judged(truth, names.where("feature <> 'l_tax'").withColumn("detected", F.lit(True)))
+    """Drift of all items as the truth, that of every second order, quantities moved, as detections; each side lacks a feature."""
+    items = table(spark, sf_dir, "lineitem")
+    found = lambda rows, names: drift.ks(drift.numeric_counts(rows, names, is_reference())).select("feature", "drift_detected")
+    truth = found(items, [n for n in _JUDGED if n != "l_discount"]).withColumnRenamed("drift_detected", "truth")
+    moved = items.where("l_orderkey % 2 = 0").withColumn("l_quantity", F.col("l_quantity") + F.when(is_reference(), 0).otherwise(2))
+    return logs.judged(truth, found(moved, [n for n in _JUDGED if n != "l_tax"]).withColumnRenamed("drift_detected", "detected"))
 
 
 @query(
@@ -294,7 +326,7 @@ def src16_newest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, events = _store(spark), table(spark, sf_dir, "events")
     last = events.agg(F.max("event_type")).first()[0]
     rows = events.where(F.col("event_type") == last).withColumns({"score": F.lit(0.0), "is_ood": F.lit(0)})
-    store.append_logs("p", rows, ["value", "user_id"], "event_id", "ts")
+    store.append_logs(rows, ["value", "user_id"], "event_id", "ts", F.lit("p"))
     return scoring.flattened(store.logs("p", 1000), "input_data", ["value", "user_id"]).select("event_id", "value", "user_id")
 
 
@@ -302,11 +334,10 @@ def src16_newest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src15_snk3_snk4_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of every project after one of them is deleted by its encoded id."""
     store, events = _store(spark), table(spark, sf_dir, "events").withColumns({"score": F.lit(0.0), "is_ood": F.lit(0)})
-    names = sorted(r[0] for r in events.select("event_type").distinct().collect())  # a row a project
     store.upsert_projects(events.select(F.col("event_type").alias("id"), F.col("event_type").alias("name"), F.lit("o").alias("owner")).distinct())
-    for name in names:
-        store.append_logs(name, events.where(F.col("event_type") == name), ["value"], "event_id", "ts")
-    store.delete(names[0])
+    store.append_logs(events, ["value"], "event_id", "ts", F.col("event_type"))
+    first = events.agg(F.min("event_type").alias("id"))  # one row
+    store.delete(first.select(store.link(F.col("id"))).first()[0])
     return store.table("logs").groupBy("project_id").agg(F.count("*").alias("n"))
 
 
@@ -397,3 +428,67 @@ def src12_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 assert set(_TRUE_KINDS) == set(KINDS["events"])
+
+
+@query(f"{_SCORES} SELECT event_id, project, round(coalesce(score, 0), 6) AS score, (score IS NOT NULL)::INTEGER AS is_ood FROM e LEFT JOIN s USING (event_id)")
+def str1_stored_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events scored against the fences and allowed values that a store has locked for each project."""
+    store, events = _store(spark), table(spark, sf_dir, "events")
+    known = F.when(F.col("bucket") < "u3", F.col("bucket")).alias("bucket")
+    store.lock_baselines(_gappy(events).where("event_id % 3 <> 0").select("project", "value", "k", known), F.col("project"), ["value", "k"], ["bucket"])
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    scored = streams.score_by_project(_gappy(stream), "project", FEATURES, store)
+    path = new_path(spark, "scored")
+    streams.drained(scored.select("event_id", "project", F.round("score", 6).alias("score"), "is_ood"), new_path(spark, "state"), path)
+    return spark.read.schema("event_id long, project string, score double, is_ood int").parquet(path)
+
+
+_YEARS = (1996, 1997, 1998)
+
+
+def _arrivals_sql(year: int) -> str:
+    rows = f"(SELECT * REPLACE (l_quantity + CASE WHEN l_shipdate >= TIMESTAMP '{SPLIT}' THEN 3 * (year(l_shipdate) - 1996) ELSE 0 END AS l_quantity) FROM lineitem WHERE l_shipdate < TIMESTAMP '{SPLIT}' OR year(l_shipdate) = {year})"
+    return f"SELECT string_agg(feature, ',' ORDER BY feature) AS features FROM ({_REPORT.replace('FROM lineitem', f'FROM {rows}')} SELECT feature FROM report WHERE drift_detected)"
+
+
+@query(f"SELECT features, count(*) AS n_alerts FROM ({' UNION ALL '.join(map(_arrivals_sql, _YEARS))}) WHERE features IS NOT NULL GROUP BY 1")
+def str3_drift_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a stream that is stopped and goes on twice: a year of items a time, quantities moved more each year.
+
+    The last micro-batch comes once more, as after a failure between its commit and Spark's log of it; it alerts once.
+    """
+    store, items = _store(spark), table(spark, sf_dir, "lineitem").select("l_shipdate", *NUMBERS, *CATEGORIES)
+    store.lock_baseline("p", items.where(is_reference()), NUMBERS, CATEGORIES)
+    moved = items.where(~is_reference()).withColumn("l_quantity", F.col("l_quantity") + 3 * (F.year("l_shipdate") - 1996))
+    folder, state = new_path(spark, "arrivals"), new_path(spark, "state")
+    for number, year in enumerate(_YEARS):
+        moved.where(F.year("l_shipdate") == year).write.mode("append").parquet(folder)
+        streams.drained(spark.readStream.schema(moved.schema).parquet(folder), state, streams.drift_batches(store, "p", "arrivals"))
+    streams.drift_batches(store, "p", "arrivals")(moved.where(F.year("l_shipdate") == year), number)
+    return store.table("alerts").groupBy("features").agg(F.count("*").alias("n_alerts"))
+
+
+@query(f"SELECT n_name AS project_id, r_name AS owner FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 AND n_regionkey <> 1")
+def snk5_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts with the owner that each project has when it drifts, after a change of hands; those of a deleted owner's projects go with them."""
+    store, nations, regions = _store(spark), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("owner"), "n_nationkey", "n_regionkey")
+    store.upsert_projects(rows.withColumn("owner", F.lit("nobody")).drop("n_nationkey", "n_regionkey"))
+    store.upsert_projects(rows.drop("n_nationkey", "n_regionkey"))
+    drifted = rows.select(F.col("id").alias("project_id"), (F.col("n_nationkey") % 2 == 0).alias("drift_detected"), F.lit("f").alias("feature"))
+    store.alerts(drifted)
+    store.delete_all(rows.where("n_regionkey = 1").select("id"))
+    return store.table("alerts").select("project_id", "owner")
+
+
+@query("SELECT id, message FROM (SELECT 'nation ' || n_name || '/' || n_nationkey AS id, ' nation ' || n_name || '/' || n_nationkey || ': f' AS message FROM nation) WHERE id <> 'nation ' || (SELECT min(n_name) FROM nation) || '/' || (SELECT min_by(n_nationkey, n_name) FROM nation)")
+def snk4_encoded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with letters that addresses encode: one of them is deleted by its encoded form; the messages of the others, without the time."""
+    store, nations = _store(spark), table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("nation "), "n_name", F.lit("/"), F.col("n_nationkey").cast("string"))
+    rows = nations.select(name.alias("id"), F.col("n_name").alias("name"), F.lit("o").alias("owner"))
+    store.upsert_projects(rows)
+    store.alerts(rows.select(F.col("id").alias("project_id"), F.lit(True).alias("drift_detected"), F.lit("f").alias("feature")))
+    store.delete(rows.agg(F.min("id").alias("id")).select(store.link(F.col("id"))).first()[0])
+    told = store.messages("o")
+    return told.select(F.col("project_id").alias("id"), F.regexp_replace("message", r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "").alias("message"))
