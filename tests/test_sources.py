@@ -1,4 +1,5 @@
 import gzip
+import random
 import zipfile
 
 import pytest
@@ -117,3 +118,79 @@ def test_streams(spark, tmp_path):
     rates = replay(spark, tmp_path, events, lambda s: streams.anomaly_rates(streams.score_stream(s, score), "ts", ["event_type"], "1 day", "400 days"), "complete")
     whole = batch.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("start"), "event_type").agg(F.count("*").alias("n")).collect()
     assert {(r["start"], r["event_type"], r["n_logs"]) for r in rates.collect()} == {tuple(r) for r in whole}
+
+
+def test_line_breaks_over_many_ranges(spark, tmp_path):
+    """Records that cross the ranges of a file, stray quotes inside fields, blank lines, a header over two lines, two files."""
+    rng = random.Random(1)
+    expected = []
+    for f in range(2):
+        rows = [(f * 10_000 + k, rng.choice(['5" pipe', "plain", "NA", 'say ""hi""', "a\nb", 'x\n\n"",""\n"";y', "é\n€", "tail\n", "", "a,b"]) + ("" if rng.random() < 0.9 else " z"), rng.choice(["1.5", "2", ""])) for k in range(3000)]
+        with open(tmp_path / f"{f}.csv", "w", encoding="utf-8") as out:
+            out.write('id,"two\nnames",n\n')
+            for k, text, n in rows:
+                cell = text if text in ("plain", "NA", "") or text.startswith('5"') else f'"{text}"'
+                out.write(f"{k},{cell},{n}\n" + "\n" * (k % 7 == 0))
+        expected += [(k, None if (t := text.replace('""', '"') if text[:2] != '5"' else text) in ("NA", "") else t, float(n) if n else None) for k, text, n in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = readers.delimited(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert got.columns == ["id", "two\nnames", "n"] and sorted(rows_of(got)) == sorted(expected, key=lambda r: r[0])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_text_traps(spark, tmp_path):
+    (tmp_path / "pipe.csv").write_text('a,b\n1,5" pipe\n2,x "y\n')
+    assert rows_of(readers.delimited(spark, str(tmp_path / "pipe.csv"))) == [(1, '5" pipe'), (2, 'x "y')]
+    (tmp_path / "least.csv").write_text(f"a,b,c\n{-(1 << 63)},{-(1 << 31)},{1 << 31}\n5,5,5\n")
+    assert [t for _, t in readers.delimited(spark, str(tmp_path / "least.csv")).dtypes] == ["bigint", "int", "bigint"]
+    (tmp_path / "open.csv").write_text("a,b\n" + '1,"never closed\n' + "2,x\n" * 20)
+    old, readers.MOST_LINES = readers.MOST_LINES, 10
+    try:
+        with pytest.raises(ValueError, match="not closed"):
+            readers.delimited(spark, str(tmp_path / "open.csv"))
+    finally:
+        readers.MOST_LINES = old
+    (tmp_path / "west.csv").write_bytes('a,"n€"\n1,"é\n“q”"\n'.encode("cp1252"))
+    west = readers.delimited(spark, str(tmp_path / "west.csv"))
+    assert west.columns == ["a", "n€"] and rows_of(west) == [(1, "é\n“q”")]
+
+
+def test_json_lines_lose_nothing(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    got = readers.json(spark, str(tmp_path / "a.json"))
+    assert sorted((r["a"] or 0, r["_corrupt_record"]) for r in got.collect()) == [(0, '{"a": 2'), (1, None), (3, None)]
+    (tmp_path / "b.json").write_text("oops\n" * 2 + '{"a": 1}\n' * 30)
+    assert readers.json(spark, str(tmp_path / "b.json")).count() == 32
+    (tmp_path / "c.json").write_text('[\n{"a": 1},\n{"a": 2},\n{"a": 3}\n]')
+    (tmp_path / "d.json").write_text('{\n  "a": [1, 2,\n 3],\n  "b.c": ["x", "y", "z"]\n}')
+    (tmp_path / "e.json").write_text('{"a": [1, 2]}\n{"a": [3]}\n')
+    assert sorted(rows_of(readers.json(spark, str(tmp_path / "c.json")))) == [(1,), (2,), (3,)]
+    assert sorted(rows_of(readers.json(spark, str(tmp_path / "d.json")))) == [(1, "x"), (2, "y"), (3, "z")]
+    assert sorted(r["a"] for r in readers.json(spark, str(tmp_path / "e.json")).collect()) == [[1, 2], [3]]
+
+
+def test_archives(spark, tmp_path):
+    def put(name, data, more=()):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("folder/", "")
+            z.writestr("folder/data", data)
+            for extra in more:
+                z.writestr(*extra)
+
+    put("a.zip", 'n,text\n1,"say ""hi"" now"\n2,"two\nlines"\n\n3,NA\n4,5" pipe\n5\n'.encode(), [("other.csv", "no,such\n1,2\n")])
+    put("b.zip", "text;n;more\n€5 “q”;6;é\n;7;\n".encode("cp1252"))
+    put("c.zip", "n,n,\n8,9,10\n".encode("utf-8-sig"))
+    put("d.zip", b"")
+    got = readers.read(spark, f"{tmp_path}/*.zip")
+    assert got.columns == ["n", "text", "more", "n.1", "_c2"]
+    assert sorted(rows_of(got)) == [(1, 'say "hi" now', None, None, None), (2, "two\nlines", None, None, None), (3, None, None, None, None), (4, '5" pipe', None, None, None), (5, None, None, None, None), (6, "€5 “q”", "é", None, None), (7, None, None, None, None), (8, None, None, 9, 10)]
+    assert readers.zipped(spark, f"{tmp_path}/d.zip").count() == 0

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import densities, drift, logs, profile, scoring, trials
 from tidemark.plans.analysis import KINDS, _profile_sql, _trials_sql
 from tidemark.plans.queries import _KS, _REPORT, _SCORED, CATEGORIES, NUMBERS, SPLIT, _scored, is_reference, query, rounded, table
-from tidemark.scratch import new_path
+from tidemark.scratch import filesystem, new_path
 from tidemark.sources import readers
 from tidemark.sources.tables import Store
 from tidemark.streaming import streams
@@ -377,6 +384,50 @@ def src2_western_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(spark, _texts(spark, sf_dir, "\x80"), readers.delimited, encoding="ISO-8859-1")
 
 
+_BROKEN = _TEXTS.replace("chr(8364)", "chr(8364) || chr(10) || '2nd' || chr(10) || '.'")
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with quotes, a letter beyond ASCII, null markers and line breaks in their names."""
+    return _texts(spark, sf_dir, "€\n2nd\n.")
+
+
+@query(_BROKEN)
+def src1_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through delimited text with line breaks in quoted cells, read by a task for each range of a file."""
+    return _back(spark, _broken(spark, sf_dir), readers.delimited, sep="|")
+
+
+@query(_BROKEN)
+def src5_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through ZIP archives, every second in cp1252."""
+    path = new_path(spark, "archives")
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()  # a task that runs again writes the same archive
+        system, folder = filesystem(path)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{number}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            with z.open("data.csv", "w", force_zip64=True) as member, io.TextIOWrapper(member, "cp1252" if number % 2 else "utf-8", newline="") as text:
+                writer = csv.writer(text, delimiter=";")
+                for k, part in enumerate(parts):
+                    writer.writerows(([part.schema.names] if not k else []) + list(zip(*[c.to_pylist() for c in part.columns], strict=True)))
+        yield pa.RecordBatch.from_pylist([{"number": number}])
+
+    _broken(spark, sf_dir).repartition(4, "c_custkey").mapInArrow(pack, "number long").write.format("noop").mode("overwrite").save()
+    return readers.read(spark, f"{path}/*.zip").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part UNION ALL SELECT NULL, NULL, NULL FROM part WHERE p_partkey % 50 = 0")
+def src6_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts through JSON lines of which some are cut off: rows of nulls, no row is lost."""
+    path = new_path(spark, "lines")
+    whole = F.to_json(F.struct("p_partkey", "p_name", "p_size"))
+    line = F.explode(F.when(F.col("p_partkey") % 50 == 0, F.array(F.substring(whole, 1, 9), whole)).otherwise(F.array(whole)))
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return readers.json(spark, path).select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"))
+
+
 @query(_TEXTS)
 def src3_src4_tsv_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through compressed text with tabs."""
