@@ -12,8 +12,9 @@ KINDS = {
     "events": {"event_id": "int", "ts": "datetime", "user_id": "int", "event_type": "text", "value": "float", "props": "text"},
     "part": {"p_partkey": "int", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "int", "p_retailprice": "float"},
     "customer": {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_acctbal": "float", "c_mktsegment": "text"},
+    "supplier": {"s_suppkey": "int", "s_name": "text", "s_nationkey": "int", "s_acctbal": "float"},
 }
-ORDERS = {"events": "event_id", "part": "p_partkey", "customer": "c_custkey"}
+ORDERS = {"events": "event_id", "part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
 
 
 def _column_sql(name: str, c: str, kind: str) -> str:
@@ -54,6 +55,19 @@ def st11_profile_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiled(spark, sf_dir, "part")
 
 
+@query(_profile_sql("part") + " SELECT name, kind, n_rows, reason_code, decision FROM f")
+def st11_sketched_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from sketches of distinct and frequent values, without a shuffle of the values."""
+    return profile.profile(table(spark, sf_dir, "part"), "p_partkey", sketches=True).select("name", "kind", "n_rows", "reason_code", "decision")
+
+
+@query(f"""WITH t AS (SELECT * FROM customer ORDER BY md5(c_custkey || '|42'), c_custkey LIMIT 1000), {_profile_sql("customer").replace("FROM customer", "FROM t")[5:]} SELECT name, n_rows, n_unique, reason_code, decision FROM f""")
+def lim4_sampled_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of a sample of a thousand customers by a hash of their key: the option itself."""
+    out = profile.profile(table(spark, sf_dir, "customer"), "c_custkey", sample_key="c_custkey", sample_rows=1000)
+    return out.select("name", "n_rows", "n_unique", "reason_code", "decision")
+
+
 @query(_profile_sql("customer") + _FULL)
 def st10_classify_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification of every column of customer."""
@@ -124,6 +138,21 @@ def st18_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(densities.kernel_density(counts, densities.grids(counts, normals)), "density").withColumn("x", F.round("x", 6))
 
 
+@query(
+    """WITH RECURSIVE c AS (SELECT s_acctbal AS v, count(*) FILTER (s_suppkey % 2 = 0) AS a, count(*) FILTER (s_suppkey % 2 = 1) AS b FROM supplier GROUP BY 1),
+    r AS (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c),
+    d AS (SELECT max(na)::BIGINT AS a, max(nb)::BIGINT AS b, greatest(a, b) AS n, least(a, b) AS m, max(abs(ca / na - cb / nb)) AS d, round(max(abs(ca / na - cb / nb)) * max(na) * max(nb))::BIGINT AS top FROM r),
+    walk AS (SELECT 0::BIGINT AS i, [CASE WHEN j * n < top THEN 1.0::DOUBLE ELSE 0.0 END FOR j IN range(m + 1)] AS w FROM d
+             UNION ALL SELECT i + 1, [CASE WHEN abs((i + 1) * m - j * n) < top THEN list_sum(w[greatest(0, CASE WHEN (i + 1) * m < top THEN 0 ELSE ((i + 1) * m - top) // n + 1 END) + 1:j + 1]) ELSE 0.0 END FOR j IN range(m + 1)] FROM walk, d WHERE i < n),
+    p AS (SELECT a, b, d, 1 - w[m + 1] / list_product([(n + k)::DOUBLE / k FOR k IN range(1, m + 1)]) AS p FROM walk, d WHERE i = n)
+    SELECT 's_acctbal' AS feature, a AS n_ref, b AS n_prod, round(d, 9) AS statistic, round(p, 7) AS p_value, p < 0.05 AS drift_detected FROM p"""
+)
+def st2_exact_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p-value of the KS test of balances, suppliers with even against those with odd keys."""
+    counts = drift.numeric_counts(table(spark, sf_dir, "supplier"), ["s_acctbal"], F.col("s_suppkey") % 2 == 0)
+    return drift.ks(counts, exact=True).drop("kind").withColumns({"statistic": F.round("statistic", 9), "p_value": F.round("p_value", 7)})
+
+
 @query(
     " UNION ALL ".join(
         f"""(WITH c AS (SELECT {c} AS v, (count(*) FILTER (l_shipdate < TIMESTAMP '1996-01-01'))::DOUBLE AS a, (count(*) FILTER (l_shipdate >= TIMESTAMP '1996-01-01'))::DOUBLE AS b FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1),

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import densities, drift, logs, profile, scoring, trials
+from tidemark.operators import densities, drift, folders, logs, profile, scoring, trials
 from tidemark.plans.analysis import KINDS, _profile_sql, _trials_sql
 from tidemark.plans.queries import _KS, _REPORT, _SCORED, CATEGORIES, NUMBERS, SPLIT, _scored, is_reference, query, rounded, table
 from tidemark.scratch import filesystem, new_path
@@ -272,6 +272,13 @@ def set3_columns_beside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.beside(customers.select("c_custkey", "c_name"), customers.where("c_acctbal > 0").select("c_custkey", "c_acctbal"), "c_custkey")
 
 
+@query("SELECT o_custkey, unnest(map_keys(m)) AS k, unnest(map_values(m)) AS v FROM (SELECT o_custkey, map_concat(map([o_orderpriority], [min(o_orderkey)]), map([max(o_orderpriority)], [max(o_orderkey)])) AS m FROM orders GROUP BY o_custkey, o_orderpriority)")
+def set4_map_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two maps of each customer and priority as one; the later order wins where keys are equal."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.create_map(F.col("o_orderpriority"), F.min("o_orderkey")).alias("old"), F.create_map(F.max("o_orderpriority"), F.max("o_orderkey")).alias("new"))
+    return rows.select("o_custkey", F.explode(logs.merged_maps(F.col("old"), F.col("new"))).alias("k", "v"))
+
+
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")
 def set4_merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New names win over old ones."""
@@ -298,11 +305,18 @@ def val6_profiler_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_columns"), F.count_if(F.col("decision") == F.col("label")).alias("n_right"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS file, name, decision FROM ({_profile_sql(t).replace('WITH', 'WITH', 1)} SELECT name, decision FROM f)" for t in ("part", "customer")))
+_FILES = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS file, name, kind, n_rows, n_unique, reason_code, decision FROM ({_profile_sql(t)} SELECT * FROM f)" for t in _FILES))
 def val8_profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of several files, a reader each."""
-    found = [profile.profile(readers.read(spark, f"{sf_dir}/{t}.parquet"), k).select(F.lit(t).alias("file"), "name", "decision") for t, k in (("part", "p_partkey"), ("customer", "c_custkey"))]
-    return found[0].unionByName(found[1])
+    """Profiles of all tables that lie as delimited text somewhere below one folder, in one job."""
+    root = new_path(spark, "tables")
+    for t, key in _FILES.items():
+        rows = table(spark, sf_dir, t).select(*KINDS[t])
+        rows.repartitionByRange(key).sortWithinPartitions(key).write.options(header=True, sep=";" if t == "part" else ",", escape='"').csv(f"{root}/{'deep/' if t == 'part' else ''}{t}")
+    out = folders.profile_files(spark, root, by_folder=True)
+    return out.select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), "name", "kind", "n_rows", "n_unique", "reason_code", "decision")
 
 
 def _store(spark: SparkSession) -> Store:
