@@ -34,29 +34,28 @@ def chi_square_tail(x: float, dof: int) -> float:
 def exact_ks_tail(d: float, n: int, m: int) -> float:
     """The chance of a two-sample KS distance of ``d`` or more without ties: lattice paths from (0, 0) to (n, m) that stay nearer than ``d``.
 
-    The paths to the places of a row are running sums of those of the row before, inside the band that is near enough; a row is
-    one cumulative sum. Counts are scaled down where they grow large, and compared with the number of all paths as logarithms.
+    A path is weighed by the chance that a walk takes it whose steps go either way as often as the samples are large, so weights
+    neither grow nor vanish on the way. The places after so many steps follow from those a step before in one sum of arrays.
     """
     if n < m:
         n, m = m, n
     limit = round(d * n * m)
     if limit <= 0:
         return 1.0
-    # Place j of row i is near enough if |i m - j n| < limit: from (i m - limit) // n + 1 to (i m + limit - 1) // n.
-    paths, log = np.zeros(m + 1), 0.0
-    paths[: min(m, (limit - 1) // n) + 1] = 1.0
-    for i in range(1, n + 1):
-        low, high = max(0, (i * m - limit) // n + 1), min(m, (i * m + limit - 1) // n)
-        paths[:low] = 0.0
-        np.cumsum(paths[low : high + 1], out=paths[low : high + 1])
-        top = paths[high]
-        if top > 1e250:
-            paths *= 1e-250
-            log += 250 * math.log(10)
-    if paths[m] <= 0:
-        return 1.0
-    every = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return float(min(1.0, max(0.0, -math.expm1(math.log(paths[m]) + log - every))))
+    first, whole = n / (n + m), n + m
+    at, low, high = np.zeros(n + 2), 0, 0  # at[i + 1]: i of the steps were of the first kind
+    at[1] = 1.0
+    for step in range(1, whole + 1):
+        # i is near enough after ``step`` steps if |i (n + m) - step n| < limit.
+        a, b = max(0, step - m, (step * n - limit) // whole + 1), min(n, step, (step * n + limit - 1) // whole)
+        if a > b:
+            return 1.0
+        at[a + 1 : b + 2] = (1 - first) * at[a + 1 : b + 2] + first * at[a : b + 1]
+        at[low + 1 : a + 1] = 0.0
+        at[b + 2 : high + 2] = 0.0
+        low, high = a, b
+    every = math.lgamma(whole + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(first) + m * math.log1p(-first)
+    return float(min(1.0, max(0.0, -math.expm1(math.log(at[n + 1]) - every)))) if at[n + 1] > 0 else 1.0
 
 
 def chi_square_p(x: str, dof: str) -> Column:

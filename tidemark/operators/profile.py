@@ -9,6 +9,11 @@ records are compared in order, in one plan for any number of columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,27 +53,51 @@ def coerced(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.select(*pick), kinds
 
 
-def monotonic(df: DataFrame, features: list[str], order: str) -> DataFrame:
-    """``feature, monotonic``: values never fall or never rise in the order of ``order``; nulls are skipped."""
-    ranged = saved(df.select(F.col(f"`{order}`").alias("__o"), *[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(features)]).repartitionByRange("__o").withColumn("__at", F.spark_partition_id()), "ordered")
-    before = Window.partitionBy("__at").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
-    near = ranged.select("*", *[F.last(f"f{k}", ignorenulls=True).over(before).alias(f"p{k}") for k in range(len(features))])
-    kinds, ends, at = dict(ranged.dtypes), [], F.col("__o")
-    for k in range(len(features)):
-        v, p = F.col(f"f{k}"), F.col(f"p{k}")
-        here = F.when(v.isNotNull(), at)
-        ends.append(F.struct(F.lit(k).alias("c"), F.bool_and(v >= p).alias("up"), F.bool_and(v <= p).alias("down"), _comparable(F.min_by(v, here), kinds[f"f{k}"]).alias("first"), _comparable(F.max_by(v, here), kinds[f"f{k}"]).alias("last")))
-    parts = near.groupBy("__at").agg(F.array(*ends).alias("ends")).select("__at", F.explode("ends").alias("e")).select(F.col("__at").alias("at"), "e.*")
-    steady = _joined_ends(saved(parts, "ends"), ["c"], ["at"])  # a row a range and column
-    names = df.sparkSession.createDataFrame(list(enumerate(features)), "c int, feature string")
-    return names.join(steady, "c", "left").select("feature", F.coalesce("monotonic", F.lit(False)).alias("monotonic"))
+#: How values of a kind are compared: as whole numbers, numbers or text.
+_COMPARED = {"int": "whole", "bool": "whole", "datetime": "whole", "float": "number", "text": "text"}
+_END = "struct<whole:long,number:double,text:string>"
 
 
-def _comparable(value: Column, dtype: str) -> Column:
-    """A value of any column as one type that sorts as the value does."""
-    kind, none = kind_of(dtype), F.lit(None)
-    whole = value.cast("long") if kind in ("int", "bool") else F.unix_micros(value.cast("timestamp")) if kind == "datetime" else none.cast("long")
-    return F.when(value.isNotNull(), F.struct(whole.alias("whole"), (value.cast("double") if kind == "float" else none.cast("double")).alias("number"), (value.cast("string") if kind == "text" else none.cast("string")).alias("text")))
+def monotonic(df: DataFrame, features: list[str], order: str) -> DataFrame:
+    """``feature, monotonic``: values never fall or never rise in the order of ``order``; nulls and NaN are skipped.
+
+    Rows are dealt out by range of ``order`` and sorted there; one pass over a range gives a row for each column.
+    """
+    dtypes = dict(df.dtypes)
+    kinds = [_COMPARED[kind_of(dtypes[f])] for f in features]
+
+    def plain(f: str) -> Column:
+        c, kind = F.col(f"`{f}`"), kind_of(dtypes[f])
+        return F.unix_micros(c.cast("timestamp")) if kind == "datetime" else c.cast({"whole": "long", "number": "double", "text": "string"}[_COMPARED[kind]])
+
+    ends = pa.struct([("whole", pa.int64()), ("number", pa.float64()), ("text", pa.string())])
+    schema = pa.schema([("c", pa.int32()), ("at", pa.int32()), ("up", pa.bool_()), ("down", pa.bool_()), ("first", ends), ("last", ends)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list] = [[True, True, None, None] for _ in features]
+        for batch in batches:
+            for k, end in enumerate(found):
+                values = batch.column(k).drop_null()
+                if kinds[k] == "number":
+                    values = values.filter(pc.invert(pc.is_nan(values)))
+                if not len(values):
+                    continue
+                if end[3] is not None:
+                    values = pa.concat_arrays([pa.array([end[3]], values.type), values])
+                else:
+                    end[2] = values[0].as_py()
+                after, before = values.slice(1), values.slice(0, len(values) - 1)
+                end[0] &= pc.all(pc.greater_equal(after, before), min_count=0).as_py()
+                end[1] &= pc.all(pc.less_equal(after, before), min_count=0).as_py()
+                end[3] = values[-1].as_py()
+        at = TaskContext.get().partitionId()
+        value = lambda k, v: {n: v if n == kinds[k] else None for n in ("whole", "number", "text")}
+        yield pa.RecordBatch.from_pylist([{"c": k, "at": at, "up": u, "down": d, "first": value(k, a), "last": value(k, b)} for k, (u, d, a, b) in enumerate(found) if b is not None], schema)
+
+    rows = df.select(*[plain(f).alias(f"f{k}") for k, f in enumerate(features)], F.col(f"`{order}`").alias("__o")).repartitionByRange("__o").sortWithinPartitions("__o")
+    parts = saved(rows.mapInArrow(summed, f"c int, at int, up boolean, down boolean, first {_END}, last {_END}"), "ends")  # a row a range and column
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "c int, feature string")
+    return names.join(_joined_ends(parts, ["c"], ["at"]), "c", "left").select("feature", F.coalesce("monotonic", F.lit(False)).alias("monotonic"))
 
 
 def _joined_ends(parts: DataFrame, column: list[str], order: list[str]) -> DataFrame:
@@ -112,7 +141,7 @@ def _ratios(rows: DataFrame) -> DataFrame:
     rows = rows.na.fill(0, ["n_rows", "n_values", "n_unique"]).na.fill(0.0, ["mean_length", "length_std", "code_share", "value_range"])
     rows = rows.withColumn("n_unique", F.least("n_unique", "n_values"))
     rows = rows.withColumn("cardinality_ratio", F.when(F.col("n_values") > 0, F.col("n_unique") / F.col("n_rows")).otherwise(0.0))
-    return rows.withColumn("dominant_ratio", F.when(F.col("n_values") > 0, F.least(F.col("top"), F.col("n_values")) / F.col("n_values")).otherwise(1.0)).drop("top")
+    return rows.withColumn("dominant_ratio", F.when(F.col("n_values") > 0, F.least(F.coalesce("top", F.lit(1)), F.col("n_values")) / F.col("n_values")).otherwise(1.0)).drop("top")
 
 
 def signals(df: DataFrame, order: str | None = None, sketches: bool = False) -> DataFrame:
