@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tidemark.llm import simhash
 
@@ -27,6 +28,38 @@ def test_near_copies_at_all_similarities(spark):
     assert dropped == near | {1001, 1003}
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_a_crowd_of_copies_that_are_apart(spark, monkeypatch, crowd):
+    """Many copies at 0.6 to 0.9 of one text and of each other, some of them linked by chains: links and groups as by all pairs."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.choice(200, int(rng.integers(2, 12)), replace=False):
+            copy[at] = f"n{rng.integers(6)}" if k % 3 else f"own{k}"
+        texts.append(" ".join(copy))
+    texts += ["", None, "one two", " ".join(base), " ".join(base[:170]), " ".join(base[:159])]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if simhash.jaccard(sets[a], sets[b]) >= simhash.SIMILAR:
+                links += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6))
+    assert 20 < links < 5000 and sorted(r["doc_id"] for r in got.collect()) == sorted({find(d) for d in range(len(texts))})
+
+
 def test_near_copies_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sets = {r["doc_id"]: simhash.shingle_set(r["text"], 5) for r in docs.collect()}

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import small_batches
@@ -144,6 +144,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 SIMILAR, BANDS, BAND_ROWS = 0.8, 24, 5
 _ODD, _MASK = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
+#: Sets of a band, still apart, that all meet each other; larger bands meet by their rarest shingles. Bits that bound how far two sets differ.
+CROWD, ODD_BITS = 16, 1024
 #: A task that verifies keeps the sets of the texts it has met, up to so many hashes, then starts anew.
 KEPT_HASHES = 1 << 18
 
@@ -225,7 +227,9 @@ def similar(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width:
     """``(same, root)`` for ``sets(same, n, keys)``, a row a distinct set: equal roots are one component of links of SIMILAR or more.
 
     First each set meets the smallest of each of its bands, so that dense groups contract by links in proportion to
-    their rows; then all pairs of a band meet whose groups are still apart. Sizes that can't reach SIMILAR don't meet.
+    their rows; then all pairs of a band meet whose groups are still apart. Sizes that can't reach SIMILAR don't meet. Bands
+    of over CROWD sets that are still apart, such as copies of one text that differ from it by just under the limit and
+    from each other by more, would make pairs in the square of their number; their sets meet by :func:`_prefixes` instead.
     Only the texts of sets that share a band, for which ``texts_of`` is asked, travel and are written.
     """
     spark = sets.sparkSession
@@ -244,16 +248,62 @@ def similar(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width:
     apart = bands.select("same", "n", "key").join(near, "same")
     apart = saved(apart.join(apart.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key"), "key", "left_semi"), "apart")
     discard(bands)
-    left = apart.select("key", F.col("same").alias("x"), "n", F.col("root").alias("a"))
-    right = apart.select("key", F.col("same").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"))
-    pairs = saved(left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & fits).select("x", "y", "a", "b").distinct(), "pairs")
+    crowds = saved(apart.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"), "crowds")
+    crowded = _prefixes(apart.join(crowds, "key", "left_semi").select("same", "n", "root").distinct(), texts, width)
+    # Two sets that reach SIMILAR share so many of their shingles; what they share is the first of those and at most what is left of either after it.
+    share = (F.col("n") + F.col("m")) * SIMILAR / (1 + SIMILAR) - F.lit(1e-9)
+    enough = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= share
+    differ = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(ODD_BITS // 64)), F.lit(0))
+    close = differ <= F.col("n") + F.col("m") - 2 * share
+    calm = _meeting(apart.join(crowds, "key", "left_anti").withColumns({"at": F.lit(1), "odd": F.lit(None).cast("array<long>")}), fits)
+    pairs = calm.unionByName(_meeting(crowded, fits & enough & close)).distinct()
+    pairs = saved(pairs, "pairs")
     found = components(_verified(pairs, texts, width))
-    for table in (apart, pairs, texts, shared):
+    for table in (apart, crowds, crowded, pairs, texts, shared):
         discard(table)
     settle(spark)
     return _renamed(near, found)
 
 
+def _meeting(rows: DataFrame, fits: Column) -> DataFrame:
+    """``x, y, a, b``: the sets of ``rows(key, same, n, root, at, odd)`` that share a key and fit, of different roots, with the roots."""
+    left = rows.select("key", F.col("same").alias("x"), "n", F.col("root").alias("a"), F.col("at").alias("i"), "odd")
+    right = rows.select("key", F.col("same").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"), F.col("at").alias("j"), F.col("odd").alias("other"))
+    return left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & fits).select("x", "y", "a", "b").distinct()
+
+
+def _prefixes(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``key, same, n, root, at, odd``: the rarest shingles, and their places, of ``sets(same, n, root)``, as many as two sets that reach SIMILAR can't both lack.
+
+    If each set lists its shingles with the rarest first, such sets share one of the first n - ceil(SIMILAR n) + 1 (Chaudhuri
+    et al. 2006), so no link is lost. Shingles that only one set has come first and meet nothing: a set with a fifth of its own
+    has no row at all.
+    """
+
+    @F.pandas_udf("keys array<bigint>, odd array<bigint>")
+    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [shingle_set(t, width) for t in part]
+            yield pd.DataFrame({"keys": [s.view(np.int64) for s in found], "odd": [odd_bits(s) for s in found]})
+
+    made = saved(sets.join(texts, "same").select("same", shingles("text").alias("s")).select("same", "s.*"), "shingles")
+    of = made.select("same", F.explode("keys").alias("key"))
+    often = of.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    rows = of.join(often, "key").withColumn("shared", F.count("*").over(Window.partitionBy("same"))).join(sets, "same")
+    own = F.col("n") - F.col("shared")
+    first = F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - F.lit(1e-9)) + 1
+    rarest = F.row_number().over(Window.partitionBy("same").orderBy("c", "key"))
+    rows = rows.where(own < first).withColumn("at", own + rarest).where(F.col("at") <= first)
+    rows = saved(rows.join(made.select("same", "odd"), "same").select("key", "same", "n", "root", "at", "odd"), "prefixes")
+    discard(made)
+    return rows
+
+
+def odd_bits(shingles: np.ndarray) -> np.ndarray:
+    """ODD_BITS bits, one for each place to which an odd number of the shingles hash. Where two sets differ in d shingles, their bits differ in d places at most."""
+    return np.packbits(np.bincount((shingles >> np.uint64(32)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _renamed(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("same", F.coalesce("new", "root").alias("root"))
 
