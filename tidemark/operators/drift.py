@@ -76,13 +76,14 @@ def ks(counts: DataFrame, alpha: float = ALPHA, exact: bool = False) -> DataFram
     return out.select("feature", F.lit("continuous").alias("kind"), "n_ref", "n_prod", "statistic", "p_value", (F.col("p_value") < alpha).alias("drift_detected"))
 
 
-def psi(counts: DataFrame, limit: float = PSI_LIMIT, epsilon: float = EPSILON) -> DataFrame:
+def psi(counts: DataFrame, limit: float = PSI_LIMIT, epsilon: float = EPSILON, group: Sequence[str] = ("feature",)) -> DataFrame:
     """The same columns by the Population Stability Index; ``p_value`` is null. A share of zero counts as ``epsilon``."""
-    whole = counts.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_prod").alias("all_prod")).where("all_ref > 0 AND all_prod > 0")  # a row a feature
+    keys = list(group)
+    whole = counts.groupBy(*keys).agg(F.sum("n_ref").alias("all_ref"), F.sum("n_prod").alias("all_prod")).where("all_ref > 0 AND all_prod > 0")  # a row a feature
     share = lambda n, of: F.when(F.col(n) == 0, F.lit(epsilon)).otherwise(F.col(n) / F.col(of))
     e, a = share("n_ref", "all_ref"), share("n_prod", "all_prod")
-    out = counts.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.max("all_ref").alias("n_ref"), F.max("all_prod").alias("n_prod"), F.sum((a - e) * F.ln(a / e)).alias("statistic"))
-    return out.select("feature", F.lit("categorical").alias("kind"), "n_ref", "n_prod", "statistic", F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > limit).alias("drift_detected"))
+    out = counts.join(F.broadcast(whole), keys).groupBy(*keys).agg(F.max("all_ref").alias("n_ref"), F.max("all_prod").alias("n_prod"), F.sum((a - e) * F.ln(a / e)).alias("statistic"))
+    return out.select(*keys, F.lit("categorical").alias("kind"), "n_ref", "n_prod", "statistic", F.lit(None).cast("double").alias("p_value"), (F.col("statistic") > limit).alias("drift_detected"))
 
 
 def drift_report(df: DataFrame, is_reference: Column, continuous: list[str] = (), categorical: list[str] = (), alpha: float = ALPHA, limit: float = PSI_LIMIT) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.drift import ALPHA, ks_p_value, numeric_counts
+from tidemark.operators.drift import ALPHA, PSI_LIMIT, category_counts, category_key, ks_p_value, numeric_counts, psi
 from tidemark.operators.running import cumulative
 from tidemark.scratch import saved
 
@@ -30,17 +30,34 @@ def shifted(df: DataFrame, column: str, severity: float) -> DataFrame:
     return df.crossJoin(F.broadcast(sd)).withColumn(column, F.col(column) + F.lit(float(severity)) * F.coalesce("__sd", F.lit(0.0))).drop("__sd")
 
 
-def run(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, cases: Sequence[tuple[int, float, float]], trials: int, alpha: float = ALPHA) -> DataFrame:
+def _drawn(pool: DataFrame, key: str, size: int, trials: int, first: int) -> DataFrame:
+    """``pool`` with ``trial`` and ``r``: for each trial the first ``size`` rows in the hash order of its seed."""
+    rows = pool.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))).alias("trial"))
+    order = Window.partitionBy("trial").orderBy(hash_order(F.col(key), F.col("trial")), key)
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
+
+
+def run_categories(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, size: int, trials: int, limit: float = PSI_LIMIT, first: int = 1) -> DataFrame:
+    """``feature, trial, statistic, drift_detected`` by the stability index of batches of ``size`` rows, drawn as in :func:`run`."""
+    side = df.withColumn("__ref", is_reference)
+    drawn = _drawn(side.where("NOT __ref").select(key, *features), key, size, trials, first)
+    kinds = dict(df.dtypes)
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), category_key(F.col(f), kinds[f]).alias("v")) for f in features]))
+    batch = drawn.select("trial", pairs.alias("p")).select("trial", "p.*").where("v IS NOT NULL").groupBy("trial", "feature", "v").agg(F.count("*").alias("n_prod"))
+    known = category_counts(side.where("__ref"), list(features)).select("feature", "v", "n_ref", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))).alias("trial"))
+    both = known.join(batch, ["trial", "feature", "v"], "full_outer").na.fill(0, ["n_ref", "n_prod"])
+    return psi(both, limit, group=["trial", "feature"]).select("feature", "trial", "statistic", "drift_detected")
+
+
+def run(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, cases: Sequence[tuple[int, float, float]], trials: int, alpha: float = ALPHA, first: int = 1) -> DataFrame:
     """``feature, trial, size, severity, share, statistic, p_value, drift_detected`` for each trial and case.
 
-    A case is (batch size, shift in standard deviations of the batch, share of the batch that is shifted). Trial t takes the
-    first rows in the hash order of seed t; the rank is cut before the shuffle. The largest gap is reached at a value of the
+    A case is (batch size, shift in standard deviations of the batch, share of the batch that is shifted). Trial t, from ``first`` on,
+    takes the first rows in the hash order of seed t; the rank is cut before the shuffle. The largest gap is reached at a value of the
     batch or just before one, so the reference is read and summed once, and each test looks up its own values.
     """
     side = df.withColumn("__ref", is_reference)
-    pool = side.where("NOT __ref").select(key, *features, F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-    order = Window.partitionBy("trial").orderBy(hash_order(F.col(key), F.col("trial")), key)
-    drawn = pool.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(c[0] for c in cases))
+    drawn = _drawn(side.where("NOT __ref").select(key, *features), key, max(c[0] for c in cases), trials, first)
     every = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(float(s)).alias("severity"), F.lit(float(p)).alias("share")) for n, s, p in cases])
     rows = drawn.select("*", F.explode(every).alias("c")).select("*", "c.*").where("r <= size")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
