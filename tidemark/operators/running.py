@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.scratch import saved
+from tidemark.scratch import discard, saved
 
 
 def cumulative(df: DataFrame, group: list[str], order: str, values: list[str], totals_as: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -14,7 +14,9 @@ def cumulative(df: DataFrame, group: list[str], order: str, values: list[str], t
     ``df`` is computed once: its rows are written as they come, then dealt out by range of group and order; each partition adds the totals of those before it,
     which are one row a partition and group.
     """
-    ranged = saved(saved(df, "counts").repartitionByRange(*group, order).withColumn("__at", F.spark_partition_id()), "ranged")
+    counts = saved(df, "counts")
+    ranged = saved(counts.repartitionByRange(*group, order).withColumn("__at", F.spark_partition_id()), "ranged")
+    discard(counts)
     totals = ranged.groupBy(*group, "__at").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     earlier = Window.partitionBy(*group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "__at", *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__o_{v}") for v in values])

@@ -485,6 +485,32 @@ def src10_white_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.spaced(spark, path)
 
 
+@query(" UNION ALL ".join(f"SELECT '{k}' AS suffix, p_partkey, p_name, p_size FROM part" for k in ("jsonl", "parquet", "tsv", "txt.gz")))
+def src11_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in four formats, each read by the reader of its suffix."""
+    rows, path, out = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), new_path(spark, "part"), None
+    rows.write.json(f"{path}.jsonl")
+    rows.write.parquet(f"{path}.parquet")
+    rows.write.options(header=True, sep="\t", escape='"').csv(f"{path}.tsv")
+    rows.write.options(header=True, sep="|", escape='"', compression="gzip").csv(f"{path}.txt.gz")
+    for suffix in ("jsonl", "parquet", "tsv", "txt.gz"):
+        part = readers.read(spark, f"{path}.{suffix}").select(F.lit(suffix).alias("suffix"), F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH s AS (SELECT count(*) AS n, count(DISTINCT event_id) AS t, count(DISTINCT user_id % 80) AS w, count(DISTINCT value > 50) AS f, (SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM events GROUP BY value > 50)) AS dom FROM events)
+    SELECT 'TIME' AS name, CASE WHEN t = n THEN 'time_index' ELSE 'numbers' END AS reason_code, CASE WHEN t = n THEN 'ignore' ELSE 'continuous' END AS decision, NULL AS best_guess FROM s
+    UNION ALL SELECT 'who', CASE WHEN w <= 50 THEN 'few_texts' ELSE 'unclear' END, CASE WHEN w <= 50 THEN 'categorical' ELSE 'review' END, CASE WHEN w > 50 THEN 'ignore' END FROM s
+    UNION ALL SELECT 'high', CASE WHEN dom > 0.99 THEN 'near_constant' ELSE 'unclear' END, CASE WHEN dom > 0.99 THEN 'ignore' ELSE 'review' END, CASE WHEN dom <= 0.99 THEN 'ignore' END FROM s"""
+)
+def st13_st14_time_and_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of times by its name, and guesses for columns that a person should look at."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("TIME"), F.concat(F.lit("u"), F.col("user_id") % 80).alias("who"), (F.col("value") > 50).alias("high"))
+    return profile.profile(rows).select("name", "reason_code", "decision", "best_guess")
+
+
 @query("SELECT r_regionkey AS k, r_name, NULL AS n_name FROM region UNION ALL SELECT n_nationkey, NULL, n_name FROM nation")
 def src12_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files as one table, columns by name."""
