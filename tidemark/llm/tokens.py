@@ -46,7 +46,7 @@ class _Known(dict):
 class Encoder:
     """Encodes texts to little-endian 16-bit ids (vocabularies under 65,536)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,6 +67,7 @@ class Encoder:
         self.newline = self._whole("\n") if self.kind == "bytes" else b""
 
     def _forget(self) -> None:
+        self.most = most
         self.parts = _Known(self._part)  # what the model merges as one
         self.words = _Known(self._word)  # between white space
         self.spaced = _Known(lambda w: self._word(" " + w))  # the same with the space before
@@ -98,7 +99,7 @@ class Encoder:
             return b""
         if self.kind is None or any(s in text for s in self.special) or _ODD.search(text):
             return self._whole(text)
-        if len(self.parts) + len(self.words) + len(self.spaced) > MOST_WORDS:
+        if len(self.parts) + len(self.words) + len(self.spaced) > self.most:
             self._forget()
         known = self.words.__getitem__
         words = text.split()
@@ -112,6 +113,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it lives as long as the worker does."""
-    return Encoder(path)
+def encoder(path: str, most: int = MOST_WORDS) -> Encoder:
+    """The worker's encoder for a tokenizer file, with at most so many strings kept; it lives as long as the worker does."""
+    return Encoder(path, most)
