@@ -58,7 +58,7 @@ class Encoder:
         self.tokenize, self.letters = self.lib.model.tokenize, _byte_letters()
         self.special = [t["content"] for t in spec["added_tokens"]]
         before, norm = spec["pre_tokenizer"], spec["normalizer"]
-        self.kind = None
+        self.kind, self.most = None, most
         if before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and norm is None:
             self.kind, self.split = "bytes", regex.compile(BYTE_SPLIT)
         elif before.get("pretokenizers", [{}])[0].get("pattern") == {"Regex": WORD_SPLIT} and [n["type"] for n in norm["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
@@ -67,7 +67,6 @@ class Encoder:
         self.newline = self._whole("\n") if self.kind == "bytes" else b""
 
     def _forget(self) -> None:
-        self.most = most
         self.parts = _Known(self._part)  # what the model merges as one
         self.words = _Known(self._word)  # between white space
         self.spaced = _Known(lambda w: self._word(" " + w))  # the same with the space before
