@@ -40,7 +40,7 @@ def test_failed_changes_leave_the_version_before(spark, store, monkeypatch, brok
 
         def write(self, name, rows):
             seen.append(name)
-            if name != seen[0] or len(SCHEMAS) == 1 or name in ("projects", "logs", "alerts"):
+            if len(seen) > 1:  # the baselines' second table, and the projects after it
                 raise OSError("lost")
             return real(self, name, rows)
 
