@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidemark.llm.batches import batch, columns, small_batches
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import encoding
 from tidemark.names import col
 from tidemark.scratch import saved
 
@@ -107,18 +107,18 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: b
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "ids_crc32", "task", "number")] + [("ids", pa.binary())] * with_ids
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(tokenizer).encode, np.array([end_id], "<u2").tobytes()
-        task = TaskContext.get().partitionId()
+        task, tail = TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes()
         seen = [0] * (capacity + 1)
-        for docs, texts in columns(parts, "id", "text"):
-            out = []
-            for doc, text in zip(docs, texts, strict=True):
-                ids = np.frombuffer(encode(text) + tail, "<u2")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    out.append((doc, start, len(piece), len(ids), zlib.crc32(piece.astype("<u4").tobytes()), task, seen[len(piece)], *[piece.tobytes()] * with_ids))
-                    seen[len(piece)] += 1
-            yield batch(out, fields)
+        with encoding(tokenizer) as encode:
+            for docs, texts in columns(parts, "id", "text"):
+                out = []
+                for doc, text in zip(docs, texts, strict=True):
+                    ids = np.frombuffer(encode(text) + tail, "<u2")
+                    for start in range(0, len(ids), capacity):
+                        piece = ids[start : start + capacity]
+                        out.append((doc, start, len(piece), len(ids), zlib.crc32(piece.astype("<u4").tobytes()), task, seen[len(piece)], *[piece.tobytes()] * with_ids))
+                        seen[len(piece)] += 1
+                yield batch(out, fields)
 
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(pieces, from_arrow_schema(pa.schema(fields)))

@@ -12,6 +12,8 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import regex
@@ -63,10 +65,11 @@ class Encoder:
             self.kind, self.split = "bytes", regex.compile(BYTE_SPLIT)
         elif before.get("pretokenizers", [{}])[0].get("pattern") == {"Regex": WORD_SPLIT} and [n["type"] for n in norm["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
             self.kind, self.split = "words", regex.compile(WORD_SPLIT)
-        self._forget()
+        self.forget()
         self.newline = self._whole("\n") if self.kind == "bytes" else b""
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Lets go of all strings kept so far."""
         self.parts = _Known(self._part)  # what the model merges as one
         self.words = _Known(self._word)  # between white space
         self.spaced = _Known(lambda w: self._word(" " + w))  # the same with the space before
@@ -99,7 +102,7 @@ class Encoder:
         if self.kind is None or any(s in text for s in self.special) or _ODD.search(text):
             return self._whole(text)
         if len(self.parts) + len(self.words) + len(self.spaced) > self.most:
-            self._forget()
+            self.forget()
         known = self.words.__getitem__
         words = text.split()
         if self.kind == "words":
@@ -115,3 +118,13 @@ class Encoder:
 def encoder(path: str, most: int = MOST_WORDS) -> Encoder:
     """The worker's encoder for a tokenizer file, with at most so many strings kept; it lives as long as the worker does."""
     return Encoder(path, most)
+
+
+@contextmanager
+def encoding(path: str) -> Iterator[Callable[[str | None], bytes]]:
+    """The worker's ``encode`` for one task; the strings kept go with the task, as the worker goes on to other stages."""
+    kept = encoder(path)
+    try:
+        yield kept.encode
+    finally:
+        kept.forget()
