@@ -1,10 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks of text with their place in the tree. A linear classifier gives each block the log-odds of
-being content, from its own tags, class names, length and links; these are the capacities to the two terminals.
-Neighbours in page order and blocks under one parent are tied by smoothness edges, stronger the closer they are in the
-tree. The minimum cut is the labelling with the least cost: max-flow pushes through the graph, and what the source
-still reaches is content. Blocks that can't be text of the article by the page's own markup (menus, forms, scripts)
+being content, from its own tags, class names, length, links and the share of the page's text that its container holds;
+these are the capacities to the two terminals. Neighbours in page order are tied by smoothness edges, stronger the fewer
+steps lie between their containers in the tree, and blocks of one container by further ones. The minimum cut is the
+labelling with the least cost: max-flow pushes through the graph, and what the source still reaches is content. A short
+line or one of links stays with the paragraphs around it, a lone sentence between boxes goes with these. Blocks that can't be text of the article by the page's own markup (menus, forms, scripts)
 are tied to the boilerplate side by more than their edges can carry.
 
 Scale: a page is a row and nothing is shuffled; the graph has one node a block and at most two edges for each.
@@ -37,25 +38,35 @@ NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice paywall pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary search alert".split()
 )
 GOOD = frozenset("article body content entry main post story text".split())
+#: Words that mark readers' comments in some pages and a section of an article in others: half a noise word.
+DOUBTFUL = frozenset("discussion feedback".split())
+#: First words of a class that tells about the page's layout, not about its element.
+LAYOUT = frozenset("has have hide no not show with without".split())
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[a-z]+")
 
 #: What may stand in a head; anything else starts the body, whether or not the head was left.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 
-#: Log-odds of content: constant, in article or main, heading or paragraph, good name, noise word (half if the same element has a good name), each share of linked text, log length.
-WEIGHTS = {"bias": -0.5, "article": 3.0, "plain": 0.8, "good": 1.0, "noise": -5.0, "links": -3.0, "length": 0.35}
-BARRED_COST, ADJACENT, SIBLING = 1e6, 0.4, 0.6
+#: Log-odds of content: constant, in article or main (less by its noise), heading or paragraph, good name, noise word (half if the same element has a good name), each share of linked text, log length,
+#: share of the page's unlinked text outside barred elements that the block's container holds (none for a noise word, half for half of one).
+WEIGHTS = {"bias": -0.25, "article": 3.0, "plain": 0.8, "good": 1.0, "noise": -5.0, "links": -3.0, "length": 0.35, "share": 2.5}
+#: Edges: of neighbours under one parent (less by the steps between their parents), of the next block under the same parent.
+BARRED_COST, ADJACENT, SIBLING = 1e6, 1.0, 0.6
+#: Steps after which containers are equally far.
+FAR = 8
 
 
 class _Blocks(HTMLParser):
-    """Reads a page into blocks ``(text, cost, parent)``; unclosed and misnested tags are taken as browsers take them."""
+    """Reads a page into blocks ``(text, odds, parent)``; unclosed and misnested tags are taken as browsers take them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool, bool, int, float]] = [("#root", False, False, False, 0, 0.0)]  # tag, barred, article, good, node, noise
         self.unseen: list[str] = []
-        self.nodes, self.blocks = 0, []
+        self.nodes, self.read = 0, []
+        self.above: list[int] = [0]  # parent by node
+        self.depth: list[int] = [0]
         self._start()
 
     def _start(self) -> None:
@@ -65,15 +76,33 @@ class _Blocks(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             tag, barred, article, good, parent, noise = self.place
-            if barred:
-                odds = -BARRED_COST
-            else:
-                w = WEIGHTS
-                odds = w["bias"] + w["article"] * article + w["good"] * good + w["noise"] * noise + w["plain"] * (tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))
-                odds += w["links"] * min(1.0, self.linked / len(text)) * (not article) + w["length"] * math.log1p(len(text) / 40)
-            self.blocks.append((text, odds, parent))
+            linked = min(1.0, self.linked / len(text))
+            w = WEIGHTS
+            odds = w["bias"] + w["article"] * article * (1 - noise) + w["good"] * good + w["noise"] * noise + w["plain"] * (tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))
+            odds += w["links"] * linked * (not article) + w["length"] * math.log1p(len(text) / 40)
+            self.read.append((text, None if barred else odds, parent, len(text) * (1 - linked) * (not barred), 1 - noise))
         self._start()
 
+    def blocks(self) -> list[tuple[str, float, int]]:
+        """``(text, odds, parent)`` of every block, with the share of its container in the page's text, which is known at the end only."""
+        held: dict[int, float] = {}
+        for _, _, parent, own, _ in self.read:
+            held[parent] = held.get(parent, 0.0) + own
+        whole = sum(held.values()) or 1.0
+        share = WEIGHTS["share"] / whole
+        return [(text, -BARRED_COST if odds is None else odds + share * held[parent] * clean, parent) for text, odds, parent, _, clean in self.read]
+
+    def steps(self, a: int, b: int, most: int) -> int:
+        """Steps between two elements in the tree, at most ``most``."""
+        for n in range(most):
+            if a == b:
+                return n
+            if self.depth[a] >= self.depth[b]:
+                a = self.above[a]
+            else:
+                b = self.above[b]
+        return most
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.unseen:
             if tag == "body" and self.unseen[0] == "head" or self.unseen == ["head"] and tag not in IN_HEAD:
@@ -93,7 +122,8 @@ class _Blocks(HTMLParser):
             self._close("p", BLOCK - {"p"})
         if tag in ("li", "td", "th", "tr", "dd", "dt"):
             self._close(tag, frozenset(("ul", "ol", "table", "dl", "div", "section", "article")))
-        names = {n for k, v in attrs if k in ("class", "id", "role") and v for n in _NAMES.findall(v.lower())}
+        words = [_NAMES.findall(name) for k, v in attrs if k in ("class", "id", "role") and v for name in v.lower().split()]
+        names = {n for w in words if w and w[0] not in LAYOUT for n in w}
         hidden = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
         _, barred, article, good, _, noise = self.stack[-1]
         own = tag in BARRED and not (tag == "header" and article) or hidden
@@ -101,7 +131,11 @@ class _Blocks(HTMLParser):
             noise = noise if article or names & NOISE and not names & GOOD else 0.0  # words of the wrappers around it don't count
         elif names & NOISE and tag not in ("html", "body"):
             noise = max(noise, 0.5 if names & GOOD else 1.0)
+        elif names & DOUBTFUL:
+            noise = max(noise, 0.5)
         self.nodes += 1
+        self.above.append(self.stack[-1][4])
+        self.depth.append(len(self.stack))
         self.stack.append((tag, barred or own, article or tag in ("article", "main"), good or bool(names & GOOD), self.nodes, noise))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -209,27 +243,34 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 break
 
 
-def label(blocks: list[tuple[str, float, int]]) -> list[bool]:
-    """Which blocks are content: the minimum cut over page order and common parents."""
+def label(page: _Blocks) -> list[bool]:
+    """Which blocks of a page that was read are content: the minimum cut over page order and common parents."""
     edges, last = [], {}
+    blocks = page.blocks()
     for k, (_, _, parent) in enumerate(blocks):
         if k:
-            edges.append((k - 1, k, ADJACENT))
+            edges.append((k - 1, k, ADJACENT / (1 + page.steps(blocks[k - 1][2], parent, FAR))))
         if parent in last:
             edges.append((last[parent], k, SIBLING))
         last[parent] = k
     return min_cut([o for _, o, _ in blocks], edges)
 
 
+def read(html: str) -> _Blocks:
+    """A page in blocks."""
+    page = _Blocks()
+    page.feed(html)
+    page.close()
+    page.flush()
+    return page
+
+
 def extract(html: str | None) -> str:
     """The content blocks of a page in page order, joined by a line feed; empty for null, empty or textless pages."""
     if not html:
         return ""
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return "\n".join(b[0] for b, keep in zip(parser.blocks, label(parser.blocks), strict=True) if keep)
+    page = read(html)
+    return "\n".join(text for (text, *_), keep in zip(page.read, label(page), strict=True) if keep)
 
 
 def main_text(html: Column) -> Column:
@@ -246,7 +287,7 @@ def main_text(html: Column) -> Column:
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the html, and ``n_chars``, its length in code points.
 
-    Null and empty pages give empty text. Repeated rows keep their rows; an empty table stays empty. Columns that
+    Text that the page itself hides (``hidden``, ``display:none``) is no text of the article. Null and empty pages give empty text. Repeated rows keep their rows; an empty table stays empty. Columns that
     have the new names are replaced.
     """
     name = free(pages.columns, "__text")
