@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,14 +142,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies of the pipeline: Jaccard similarity of the shingle sets, and the bands of minima that find candidates.
-SIMILAR, BANDS, BAND_ROWS = 0.8, 24, 5
-_ODD, _MASK = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
-_ODD = _ODD * np.uint64(2) + np.uint64(1)
-#: Sets of a band, still apart, that all meet each other; larger bands meet by their rarest shingles. Bits that bound how far two sets differ.
+#: Near copies of the pipeline: Jaccard similarity of the shingle sets; bits of the wide fingerprints that find candidates.
+SIMILAR, WIDE_BITS = 0.8, 1024
+#: A pair at SIMILAR shares no segment with this probability at most. How often its bits differ there, by the larger set: votes of few shingles are coarse.
+MISS, FLIPS = 1e-4, ((5, 0.1875), (64, 0.165), (math.inf, 0.153))
+#: The first bits of the wide fingerprints go with each key; a pair at SIMILAR differs in more of them than this with a probability of 3e-7 (5 shingles: 1e-5), two of many shingles at random in no more in 1 of 3,900.
+SLICE_APART = 44
+#: The segments are met in turns of these shares, so that the next turn finds the groups of the turns before contracted.
+TURNS = (1, 3, 6, 6)
+_SALT = np.random.default_rng(5).integers(0, 1 << 64, WIDE_BITS // 64, np.uint64)
+#: Sets of a segment's value, of other groups than its largest, that all meet its sets; larger crowds meet by their rarest shingles. Bits that bound how far two sets differ.
 CROWD, ODD_BITS = 16, 1024
 #: A task that verifies keeps the sets of the texts it has met, up to so many hashes, then starts anew.
 KEPT_HASHES = 1 << 18
+#: Rows of keys that a task looks at together.
+MET_ROWS = 1 << 15
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -170,31 +179,137 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each band of minima; sets of similarity s share one with probability 1 - (1 - s^BAND_ROWS)^BANDS."""
-    if not len(shingles):
-        return []
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 4096):
-        low = np.minimum(low, ((shingles[k : k + 4096] ^ _MASK) * _ODD).min(axis=1))
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(low.reshape(BANDS, BAND_ROWS))]
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles with WIDE_BITS bits: int64 words. A bit is set if over half of the shingles have it."""
+    votes = np.zeros(WIDE_BITS, np.int64)
+    for k in range(0, len(shingles), 255):  # as many as one byte counts
+        x = shingles[k : k + 255, None] + _SALT
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(shingles)).view(np.int64)
+
+
+def wide_segments(count: int) -> tuple[np.ndarray, list[tuple[float, int]]]:
+    """The bits of each segment, a row each, for ``count`` sets, and how many segments sets of up to so many shingles take.
+
+    A segment has bits enough that chance brings about one other set to a value; their number follows from MISS.
+    """
+    width = max(8, (max(count, 1) - 1).bit_length())
+    apart = np.arange(WIDE_BITS + 1)
+    ways = np.array([math.lgamma(WIDE_BITS + 1) - math.lgamma(k + 1) - math.lgamma(WIDE_BITS - k + 1) for k in range(WIDE_BITS + 1)])
+    numbers = []
+    for most, flip in FLIPS:
+        odds = np.exp(ways + apart * math.log(flip) + (WIDE_BITS - apart) * math.log(1 - flip))
+        other = 1 - (1 - apart / WIDE_BITS) ** width
+        n = 1
+        while (odds * other**n).sum() > MISS:
+            n += 1 + n // 50
+        numbers.append((most, n))
+    rng = np.random.default_rng(6)
+    return np.array([rng.choice(WIDE_BITS, width, replace=False) for _ in range(max(n for _, n in numbers))]), numbers
 
 
 def _sketches(text: Column, width: int) -> Column:
-    """The set's own hash, its size and its band keys."""
+    """The set's own hash, its size and its wide fingerprint."""
 
-    @F.pandas_udf("same long, n long, keys array<bigint>")
+    @F.pandas_udf("same long, n long, wide array<bigint>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for t in part:
                 s = shingle_set(t, width)
-                out.append((xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), len(s), band_keys(s)))
-            yield pd.DataFrame(out, columns=["same", "n", "keys"])
+                out.append((xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), len(s), wide_fingerprint(s)))
+            yield pd.DataFrame(out, columns=["same", "n", "wide"])
 
     return of(text)
 
 
+def _segment_keys(sets: DataFrame, picks: np.ndarray, numbers: list[tuple[float, int]], first: int, last: int) -> DataFrame:
+    """``key, same, root, f, g``: a row for each segment from ``first`` up to ``last`` of ``sets(same, n, wide, root)``, with the segment and its value as key, and the first 128 bits."""
+    picks, weigh = picks[first:last].astype(np.int16), 1 << np.arange(picks.shape[1], dtype=np.int64)
+    table = np.arange(first, first + len(picks), dtype=np.int64) << picks.shape[1]
+
+    @F.pandas_udf("array<bigint>")
+    def keys(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for wide, sizes in parts:
+            out = []
+            for words, n in zip(wide, sizes, strict=True):
+                takes = max(0, next(k for most, k in numbers if n <= most) - first) if n / (n + 1) >= SIMILAR else 0  # fewer link to no other set
+                bits = np.unpackbits(np.asarray(words, np.int64).view(np.uint8))
+                out.append(bits[picks[:takes]] @ weigh + table[:takes])
+            yield pd.Series(out, dtype=object)
+
+    made = sets.select("same", "root", F.get("wide", F.lit(0)).alias("f"), F.get("wide", F.lit(1)).alias("g"), keys("wide", "n").alias("keys"))
+    return made.select(F.explode("keys").alias("key"), "same", "root", "f", "g")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """What the sets of ``rows(key, same, root, f, g)`` that share a key bring: candidate pairs ``x, y, a, b``, with a null key, and crowds.
+
+    Pairs are of different roots and near by their first bits. A value of at most CROWD sets, or of no more than these outside its
+    largest group, brings all its pairs. Any other is a crowd: its sets meet the smallest, and their rows follow with their key, same as x, root
+    as a, f and g.
+    """
+    crowd = CROWD
+    names, schema = ("key", "same", "root", "f", "g"), "key long, x long, y long, a long, b long, f long, g long"
+
+    def pairs(part: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        _, same, root, f, g = part
+        differ = [np.bitwise_count((w[i] ^ w[j]).view(np.uint64)) for w in (f, g)]  # of signed numbers it counts the bits of the absolute value
+        near = (root[i] != root[j]) & (differ[0] + differ[1] <= SLICE_APART)
+        i, j = i[near], j[near]
+        i, j = np.where(same[i] < same[j], i, j), np.where(same[i] < same[j], j, i)
+        return [same[i], same[j], root[i], root[j]]
+
+    def met(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], part[0][1:] != part[0][:-1]]))
+        sizes = np.diff(np.append(starts, len(part[0])))
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(part[0]))  # rows from here to the end of the key
+        calm, found, crowds = np.repeat(sizes <= crowd, sizes), [], []
+        for d in range(1, int(sizes[sizes <= crowd].max(initial=1))):
+            i = np.flatnonzero(calm & (left > d))
+            found.append(pairs(part, i, i + d))
+        for start, size in zip(starts[sizes > crowd].tolist(), sizes[sizes > crowd].tolist(), strict=True):
+            here = np.arange(start, start + size)
+            roots, at, counts = np.unique(part[2][here], return_inverse=True, return_counts=True)
+            if len(roots) == 1:
+                continue
+            largest = counts.argmax()
+            others = here[at != largest]
+            if len(others) <= crowd:
+                found += [pairs(part, np.full(size, k), here) for k in others.tolist()]
+            else:
+                found.append(pairs(part, np.full(size, start + part[1][here].argmin()), here))
+                crowds.append(here)
+        if found:
+            x, y, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            none = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(y), pa.array(a), pa.array(b), none, none], ["key", "x", "y", "a", "b", "f", "g"])
+        for here in crowds:
+            key, same, root, f, g = (pa.array(c[here]) for c in part)
+            none = pa.nulls(len(here), pa.int64())
+            yield pa.RecordBatch.from_arrays([key, same, none, root, none, f, g], ["key", "x", "y", "a", "b", "f", "g"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            n += batch.num_rows
+            if n >= MET_ROWS and held[0][0][0] != held[-1][0][-1]:
+                part = [np.concatenate(c) for c in zip(*held, strict=True)]
+                whole = int(np.searchsorted(part[0], part[0][-1]))  # the last key may go on
+                yield from met([c[:whole] for c in part])
+                held, n = [[c[whole:].copy() for c in part]], n - whole
+        if n:
+            yield from met([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(task, schema)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of the distinct ``pairs(x, y, a, b)`` whose texts ``texts(same, text)`` reach SIMILAR, as links (a, b).
 
@@ -223,46 +338,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.where(alike("s", "t")).select("a", "b")
 
 
-def similar(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
-    """``(same, root)`` for ``sets(same, n, keys)``, a row a distinct set: equal roots are one component of links of SIMILAR or more.
+def similar(sets: DataFrame, count: int, texts_of: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+    """``(same, root)`` for ``sets(same, n, wide)``, a row a distinct set, about ``count`` of them: equal roots are one component of links of SIMILAR or more.
 
-    First each set meets the smallest of each of its bands, so that dense groups contract by links in proportion to
-    their rows; then all pairs of a band meet whose groups are still apart. Sizes that can't reach SIMILAR don't meet. Bands
-    of over CROWD sets that are still apart, such as copies of one text that differ from it by just under the limit and
-    from each other by more, would make pairs in the square of their number; their sets meet by :func:`_prefixes` instead.
-    Only the texts of sets that share a band, for which ``texts_of`` is asked, travel and are written.
+    Multi-index hashing of wide fingerprints: sets that share a segment and are near by their first bits are candidates, and the sets
+    themselves decide. The segments come in turns, and what a turn links is one group in the next. Crowds, such as copies of one text
+    that differ from it by just under the limit and from each other by more, would make pairs in the square of their number; where
+    they are still apart after the last turn they meet by :func:`_prefixes` instead. Only the texts of candidates, for which
+    ``texts_of`` is asked, travel and are written.
     """
     spark = sets.sparkSession
-    bands = sets.select("same", "n", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min(F.struct("same", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    shared = saved(shared.select("key", F.col("f.same").alias("y"), F.col("f.n").alias("m")), "shared-bands")
-    bands = saved(bands.join(shared, "key"), "bands")
-    texts = saved(texts_of(bands.select("same").distinct()).dropDuplicates(["same"]), "texts-in-bands")
-    settle(spark)
-    fits = F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m") - F.lit(1e-9)
-    stars = saved(bands.where((F.col("same") != F.col("y")) & fits).select(F.col("same").alias("x"), "y", F.col("same").alias("a"), F.col("y").alias("b")).distinct(), "stars")
-    found = components(_verified(stars, texts, width))
-    discard(stars)
-    settle(spark)
-    near = saved(_renamed(sets.select("same", F.col("same").alias("root")), found), "stars-roots")
-    apart = bands.select("same", "n", "key").join(near, "same")
-    apart = saved(apart.join(apart.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key"), "key", "left_semi"), "apart")
-    discard(bands)
-    crowds = saved(apart.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("key"), "crowds")
-    crowded = _prefixes(apart.join(crowds, "key", "left_semi").select("same", "n", "root").distinct(), texts, width)
-    # Two sets that reach SIMILAR share so many of their shingles; what they share is the first of those and at most what is left of either after it.
-    share = (F.col("n") + F.col("m")) * SIMILAR / (1 + SIMILAR) - F.lit(1e-9)
-    enough = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= share
-    differ = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(ODD_BITS // 64)), F.lit(0))
-    close = differ <= F.col("n") + F.col("m") - 2 * share
-    calm = _meeting(apart.join(crowds, "key", "left_anti").withColumns({"at": F.lit(1), "odd": F.lit(None).cast("array<long>")}), fits)
-    pairs = calm.unionByName(_meeting(crowded, fits & enough & close)).distinct()
-    pairs = saved(pairs, "pairs")
-    found = components(_verified(pairs, texts, width))
-    for table in (apart, crowds, crowded, pairs, texts, shared):
+    picks, numbers = wide_segments(count)
+    ends = [numbers[-1][1] * part // sum(TURNS) for part in accumulate(TURNS[:-1])] + [len(picks)]
+    near, crowds = saved(sets.select("same", F.col("same").alias("root")), "roots"), []
+
+    def linked_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        found = components(_verified(pairs, texts, width))
+        out = saved(_renamed(near, found), "roots")
+        for table in (found, near):
+            discard(table)
+        settle(spark)
+        return out
+
+    for first, last in zip([0, *ends], ends, strict=False):
+        met = saved(_met(_segment_keys(sets.join(near, "same"), picks, numbers, first, last)), "met")
+        settle(spark)
+        crowds.append(met)
+        pairs = met.where("key IS NULL").select("x", "y", "a", "b").distinct()
+        if pairs.isEmpty():
+            continue
+        texts = saved(texts_of(_ids(pairs)).dropDuplicates(["same"]), "texts-of-pairs")
+        near = linked_by(pairs, texts)
+        discard(texts)
+    rows = reduce(DataFrame.unionByName, [c.where("key IS NOT NULL").select("key", F.col("x").alias("same"), "f", "g") for c in crowds])
+    met = saved(_met(rows.join(near, "same").select("key", "same", "root", "f", "g")), "met")
+    for table in crowds:
         discard(table)
+    pairs = met.where("key IS NULL").select("x", "y", "a", "b").distinct()
+    crowded = met.where("key IS NOT NULL").select(F.col("x").alias("same"), F.col("a").alias("root")).distinct()
+    if not met.isEmpty():
+        texts = saved(texts_of(_ids(pairs).unionByName(crowded.select("same")).distinct()).dropDuplicates(["same"]), "texts-of-crowds")
+        prefixes = _prefixes(sets.select("same", "n").join(crowded, "same"), texts, width)
+        # Two sets that reach SIMILAR share so many of their shingles; what they share is the first of those and at most what is left of either after it.
+        fits = F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m") - F.lit(1e-9)
+        share = (F.col("n") + F.col("m")) * SIMILAR / (1 + SIMILAR) - F.lit(1e-9)
+        enough = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= share
+        differ = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(ODD_BITS // 64)), F.lit(0))
+        close = differ <= F.col("n") + F.col("m") - 2 * share
+        pairs = saved(pairs.unionByName(_meeting(prefixes, fits & enough & close)).distinct(), "pairs")
+        near = linked_by(pairs, texts)
+        for table in (prefixes, pairs, texts):
+            discard(table)
+    discard(met)
     settle(spark)
-    return _renamed(near, found)
+    return near
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("same")).distinct()
 
 
 def _meeting(rows: DataFrame, fits: Column) -> DataFrame:
@@ -312,9 +445,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each group of near copies, that with the smallest id; all columns as they were.
 
     Near copies are texts whose sets of word shingles have a Jaccard similarity of SIMILAR or more, and groups are
-    the components of these links. 64-bit fingerprints can't find them (at 0.8 they differ in 10 bits on average, up to
-    20, and 64 bits in over 20 segments select nothing), so bands of minima of the sets bring the candidates, and
-    the sets themselves decide.
+    the components of these links. At 0.8 fingerprints of 64 bits differ in 10 bits on average, up to 20, and cut into over 20
+    segments they select nothing, so fingerprints here have WIDE_BITS bits. Segments of these bring the candidates, and the
+    sets themselves decide.
     """
     small_batches(docs.sparkSession)
     rows, (a, b) = keyed_rows(docs)
@@ -323,10 +456,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     made = saved(made.select("k", "r1", "r2", "t1", "t2", "s.*"), "sketches")
     key = F.struct(F.col("k").isNull().alias("n"), "k", "r1", "r2")
     lows = saved(made.groupBy("same", key.alias("key")).agg(F.count("*").alias("c")).groupBy("same").agg(F.min(F.struct("key", "c")).alias("low")), "lows")
-    sets = saved(made.groupBy("same").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min(F.struct("t1", "t2")).alias("t")), "sets")
+    sets = saved(made.groupBy("same").agg(F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.min(F.struct("t1", "t2")).alias("t")), "sets")
     known = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("string").alias("text"))
     needed = sets.select("same", "t.t1", "t.t2")
-    roots = similar(sets.select("same", "n", "keys"), lambda ids: known.join(needed.join(ids, "same", "left_semi"), ["t1", "t2"]).select("same", "text"), width)
+    roots = similar(sets.select("same", "n", "wide"), docs.count(), lambda ids: known.join(needed.join(ids, "same", "left_semi"), ["t1", "t2"]).select("same", "text"), width)
     picks = lows.join(roots, "same").groupBy("root").agg(F.min("low").alias("low")).select("low.key.r1", "low.key.r2", "low.c")
     picks = saved(picks, "picks")
     for table in (made, lows, sets):
