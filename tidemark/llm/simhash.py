@@ -153,6 +153,8 @@ TURNS = (1, 3, 6, 6)
 _SALT = np.random.default_rng(5).integers(0, 1 << 64, WIDE_BITS // 64, np.uint64)
 #: Sets of a segment's value, of other groups than its largest, that all meet its sets; larger crowds meet by their rarest shingles. Bits that bound how far two sets differ.
 CROWD, ODD_BITS = 16, 1024
+#: Words of odd bits, folded, that go with each key: pairs that these show to be under SIMILAR are no candidates.
+ODD_WORDS = 4
 #: A task that verifies keeps the sets of the texts it has met, up to so many hashes, then starts anew.
 KEPT_HASHES = 1 << 18
 #: Rows of keys that a task looks at together.
@@ -211,22 +213,22 @@ def wide_segments(count: int) -> tuple[np.ndarray, list[tuple[float, int]]]:
 
 
 def _sketches(text: Column, width: int) -> Column:
-    """The set's own hash, its size and its wide fingerprint."""
+    """The set's own hash, its size, its wide fingerprint and its odd bits, folded."""
 
-    @F.pandas_udf("same long, n long, wide array<bigint>")
+    @F.pandas_udf("same long, n long, wide array<bigint>, odd array<bigint>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for t in part:
                 s = shingle_set(t, width)
-                out.append((xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), len(s), wide_fingerprint(s)))
-            yield pd.DataFrame(out, columns=["same", "n", "wide"])
+                out.append((xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63), len(s), wide_fingerprint(s), folded(odd_bits(s))))
+            yield pd.DataFrame(out, columns=["same", "n", "wide", "odd"])
 
     return of(text)
 
 
 def _segment_keys(sets: DataFrame, picks: np.ndarray, numbers: list[tuple[float, int]], first: int, last: int) -> DataFrame:
-    """``key, same, root, f, g``: a row for each segment from ``first`` up to ``last`` of ``sets(same, n, wide, root)``, with the segment and its value as key, and the first 128 bits."""
+    """``key, same, root, f, g, n, o0, ..``: a row for each segment from ``first`` up to ``last`` of ``sets(same, n, wide, odd, root)``, with the segment and its value as key, the first 128 bits, the size and the odd bits."""
     picks, weigh = picks[first:last].astype(np.int16), 1 << np.arange(picks.shape[1], dtype=np.int64)
     table = np.arange(first, first + len(picks), dtype=np.int64) << picks.shape[1]
 
@@ -240,25 +242,37 @@ def _segment_keys(sets: DataFrame, picks: np.ndarray, numbers: list[tuple[float,
                 out.append(bits[picks[:takes]] @ weigh + table[:takes])
             yield pd.Series(out, dtype=object)
 
-    made = sets.select("same", "root", F.get("wide", F.lit(0)).alias("f"), F.get("wide", F.lit(1)).alias("g"), keys("wide", "n").alias("keys"))
-    return made.select(F.explode("keys").alias("key"), "same", "root", "f", "g")
+    made = sets.select("same", "root", F.get("wide", F.lit(0)).alias("f"), F.get("wide", F.lit(1)).alias("g"), *_bounds(), keys("wide", "n").alias("keys"))
+    return made.select(F.explode("keys").alias("key"), *[c for c in made.columns if c != "keys"])
+
+
+def _bounds() -> list[Column]:
+    """``n, o0, ..`` of sets: what tells :func:`_met` how far apart two of them are at least."""
+    return [F.col("n"), *[F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(ODD_WORDS)]]
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """What the sets of ``rows(key, same, root, f, g)`` that share a key bring: candidate pairs ``x, y, a, b``, with a null key, and crowds.
+    """What the sets of ``rows(key, same, root, f, g, ..)`` that share a key bring: candidate pairs ``x, y, a, b``, with a null key, and crowds.
 
-    Pairs are of different roots and near by their first bits. A value of at most CROWD sets, or of no more than these outside its
+    Pairs are of different roots and near by their first bits; with :func:`_bounds` as further columns, pairs whose sizes or odd
+    bits rule out SIMILAR don't come, and no link is lost by that. So the copies of one text that are just too far from each
+    other to link make few pairs, and a row brings CROWD comparisons at most. A value of at most CROWD sets, or of no more than these outside its
     largest group, brings all its pairs. Any other is a crowd: its sets meet the smallest, and their rows follow with their key, same as x, root
     as a, f and g.
     """
     crowd = CROWD
-    names, schema = ("key", "same", "root", "f", "g"), "key long, x long, y long, a long, b long, f long, g long"
+    names, schema = rows.columns, "key long, x long, y long, a long, b long, f long, g long"
 
     def pairs(part: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        _, same, root, f, g = part
+        _, same, root, f, g, *bounds = part
         differ = [np.bitwise_count((w[i] ^ w[j]).view(np.uint64)) for w in (f, g)]  # of signed numbers it counts the bits of the absolute value
         near = (root[i] != root[j]) & (differ[0] + differ[1] <= SLICE_APART)
         i, j = i[near], j[near]
+        if bounds:
+            n, *odd = bounds
+            apart = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in odd)
+            near = (apart <= (n[i] + n[j]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[near], j[near]
         i, j = np.where(same[i] < same[j], i, j), np.where(same[i] < same[j], j, i)
         return [same[i], same[j], root[i], root[j]]
 
@@ -287,7 +301,7 @@ def _met(rows: DataFrame) -> DataFrame:
             none = pa.nulls(len(x), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(y), pa.array(a), pa.array(b), none, none], ["key", "x", "y", "a", "b", "f", "g"])
         for here in crowds:
-            key, same, root, f, g = (pa.array(c[here]) for c in part)
+            key, same, root, f, g = (pa.array(c[here]) for c in part[:5])
             none = pa.nulls(len(here), pa.int64())
             yield pa.RecordBatch.from_arrays([key, same, none, root, none, f, g], ["key", "x", "y", "a", "b", "f", "g"])
 
@@ -339,10 +353,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def similar(sets: DataFrame, count: int, texts_of: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
-    """``(same, root)`` for ``sets(same, n, wide)``, a row a distinct set, about ``count`` of them: equal roots are one component of links of SIMILAR or more.
+    """``(same, root)`` for ``sets(same, n, wide, odd)``, a row a distinct set, about ``count`` of them: equal roots are one component of links of SIMILAR or more.
 
-    Multi-index hashing of wide fingerprints: sets that share a segment and are near by their first bits are candidates, and the sets
-    themselves decide. The segments come in turns, and what a turn links is one group in the next. Crowds, such as copies of one text
+    Multi-index hashing of wide fingerprints: sets that share a segment, are near by their first bits and may reach SIMILAR by their
+    sizes and odd bits are candidates, and the sets themselves decide. The segments come in turns, and what a turn links is one group in the next. Crowds, such as copies of one text
     that differ from it by just under the limit and from each other by more, would make pairs in the square of their number; where
     they are still apart after the last turn they meet by :func:`_prefixes` instead. Only the texts of candidates, for which
     ``texts_of`` is asked, travel and are written.
@@ -371,7 +385,7 @@ def similar(sets: DataFrame, count: int, texts_of: Callable[[DataFrame], DataFra
         near = linked_by(pairs, texts)
         discard(texts)
     rows = reduce(DataFrame.unionByName, [c.where("key IS NOT NULL").select("key", F.col("x").alias("same"), "f", "g") for c in crowds])
-    met = saved(_met(rows.join(near, "same").select("key", "same", "root", "f", "g")), "met")
+    met = saved(_met(rows.join(near, "same").join(sets.select("same", *_bounds()), "same").select("key", "same", "root", "f", "g", "n", *[f"o{k}" for k in range(ODD_WORDS)])), "met")
     for table in crowds:
         discard(table)
     pairs = met.where("key IS NULL").select("x", "y", "a", "b").distinct()
@@ -437,6 +451,11 @@ def odd_bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((shingles >> np.uint64(32)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1).view(np.int64)
 
 
+def folded(odd: np.ndarray) -> np.ndarray:
+    """The odd bits of a set over ODD_WORDS words of places: again one for each place to which an odd number of shingles hash."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, ODD_WORDS), axis=0)
+
+
 def _renamed(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("same", F.coalesce("new", "root").alias("root"))
 
@@ -456,10 +475,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     made = saved(made.select("k", "r1", "r2", "t1", "t2", "s.*"), "sketches")
     key = F.struct(F.col("k").isNull().alias("n"), "k", "r1", "r2")
     lows = saved(made.groupBy("same", key.alias("key")).agg(F.count("*").alias("c")).groupBy("same").agg(F.min(F.struct("key", "c")).alias("low")), "lows")
-    sets = saved(made.groupBy("same").agg(F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.min(F.struct("t1", "t2")).alias("t")), "sets")
+    sets = saved(made.groupBy("same").agg(F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("odd").alias("odd"), F.min(F.struct("t1", "t2")).alias("t")), "sets")
     known = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("string").alias("text"))
     needed = sets.select("same", "t.t1", "t.t2")
-    roots = similar(sets.select("same", "n", "wide"), docs.count(), lambda ids: known.join(needed.join(ids, "same", "left_semi"), ["t1", "t2"]).select("same", "text"), width)
+    roots = similar(sets.select("same", "n", "wide", "odd"), docs.count(), lambda ids: known.join(needed.join(ids, "same", "left_semi"), ["t1", "t2"]).select("same", "text"), width)
     picks = lows.join(roots, "same").groupBy("root").agg(F.min("low").alias("low")).select("low.key.r1", "low.key.r2", "low.c")
     picks = saved(picks, "picks")
     for table in (made, lows, sets):
