@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import small_batches
@@ -153,6 +152,8 @@ TURNS = (1, 3, 6, 6)
 _SALT = np.random.default_rng(5).integers(0, 1 << 64, WIDE_BITS // 64, np.uint64)
 #: Sets of a segment's value, of other groups than its largest, that all meet its sets; larger crowds meet by their rarest shingles. Bits that bound how far two sets differ.
 CROWD, ODD_BITS = 16, 1024
+#: Shingles of crowds are put in order by their counts in one of so many sets; so many of these counts at most are kept.
+ORDER_SHARE, ORDER_KEYS = 4, 1 << 18
 #: Words of odd bits, folded, that go with each key: pairs that these show to be under SIMILAR are no candidates.
 ODD_WORDS = 4
 #: A task that verifies keeps the sets of the texts it has met, up to so many hashes, then starts anew.
@@ -228,7 +229,7 @@ def _sketches(text: Column, width: int) -> Column:
 
 
 def _segment_keys(sets: DataFrame, picks: np.ndarray, numbers: list[tuple[float, int]], first: int, last: int) -> DataFrame:
-    """``key, same, root, f, g, n, o0, ..``: a row for each segment from ``first`` up to ``last`` of ``sets(same, n, wide, odd, root)``, with the segment and its value as key, the first 128 bits, the size and the odd bits."""
+    """``key, same, root, f, g, n, o0, .., crowded``: a row for each segment from ``first`` up to ``last`` of ``sets(same, n, wide, odd, root, crowded)``, with the segment and its value as key, the first 128 bits, the size and the odd bits."""
     picks, weigh = picks[first:last].astype(np.int16), 1 << np.arange(picks.shape[1], dtype=np.int64)
     table = np.arange(first, first + len(picks), dtype=np.int64) << picks.shape[1]
 
@@ -242,7 +243,7 @@ def _segment_keys(sets: DataFrame, picks: np.ndarray, numbers: list[tuple[float,
                 out.append(bits[picks[:takes]] @ weigh + table[:takes])
             yield pd.Series(out, dtype=object)
 
-    made = sets.select("same", "root", F.get("wide", F.lit(0)).alias("f"), F.get("wide", F.lit(1)).alias("g"), *_bounds(), keys("wide", "n").alias("keys"))
+    made = sets.select("same", "root", F.get("wide", F.lit(0)).alias("f"), F.get("wide", F.lit(1)).alias("g"), *_bounds(), "crowded", keys("wide", "n").alias("keys"))
     return made.select(F.explode("keys").alias("key"), *[c for c in made.columns if c != "keys"])
 
 
@@ -252,19 +253,21 @@ def _bounds() -> list[Column]:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """What the sets of ``rows(key, same, root, f, g, ..)`` that share a key bring: candidate pairs ``x, y, a, b``, with a null key, and crowds.
+    """What the sets of ``rows(key, same, root, f, g, ..)`` that share a key bring: candidate pairs ``x, y, a, b``, with a null key, and new sets of crowds.
 
     Pairs are of different roots and near by their first bits; with :func:`_bounds` as further columns, pairs whose sizes or odd
     bits rule out SIMILAR don't come, and no link is lost by that. So the copies of one text that are just too far from each
     other to link make few pairs, and a row brings CROWD comparisons at most. A value of at most CROWD sets, or of no more than these outside its
-    largest group, brings all its pairs. Any other is a crowd: its sets meet the smallest, and their rows follow with their key, same as x, root
-    as a, f and g.
+    largest group, brings all its pairs. Any other is a crowd: its sets meet the smallest. With ``crowded`` as last column, sets that have been
+    in a crowd before don't meet each other here but at the end, whatever their keys; if at most CROWD others are there, these meet
+    all. If more, their rows follow with their key, same as x, root as a, f and g, and as b the root of a set that has been in a crowd before, null if none
+    is there. So a set's rows follow in one turn, not in each.
     """
-    crowd = CROWD
+    crowd, n_bounds = CROWD, 1 + ODD_WORDS
     names, schema = rows.columns, "key long, x long, y long, a long, b long, f long, g long"
 
     def pairs(part: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        _, same, root, f, g, *bounds = part
+        _, same, root, f, g, *bounds = part[: 5 + n_bounds]
         differ = [np.bitwise_count((w[i] ^ w[j]).view(np.uint64)) for w in (f, g)]  # of signed numbers it counts the bits of the absolute value
         near = (root[i] != root[j]) & (differ[0] + differ[1] <= SLICE_APART)
         i, j = i[near], j[near]
@@ -280,6 +283,7 @@ def _met(rows: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], part[0][1:] != part[0][:-1]]))
         sizes = np.diff(np.append(starts, len(part[0])))
         left = np.repeat(starts + sizes, sizes) - np.arange(len(part[0]))  # rows from here to the end of the key
+        before = part[5 + n_bounds] if len(part) > 5 + n_bounds else np.zeros(len(part[0]), bool)
         calm, found, crowds = np.repeat(sizes <= crowd, sizes), [], []
         for d in range(1, int(sizes[sizes <= crowd].max(initial=1))):
             i = np.flatnonzero(calm & (left > d))
@@ -289,21 +293,22 @@ def _met(rows: DataFrame) -> DataFrame:
             roots, at, counts = np.unique(part[2][here], return_inverse=True, return_counts=True)
             if len(roots) == 1:
                 continue
-            largest = counts.argmax()
-            others = here[at != largest]
-            if len(others) <= crowd:
-                found += [pairs(part, np.full(size, k), here) for k in others.tolist()]
-            else:
+            others, new = here[at != counts.argmax()], here[~before[here]]
+            if len(others) > crowd:
                 found.append(pairs(part, np.full(size, start + part[1][here].argmin()), here))
-                crowds.append(here)
+            few = min(others, new, key=len)
+            if len(few) <= crowd:
+                found += [pairs(part, np.full(size, k), here) for k in few.tolist()]
+            else:
+                crowds.append((new, part[2][here[before[here]][:1]]))
         if found:
             x, y, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
             none = pa.nulls(len(x), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(y), pa.array(a), pa.array(b), none, none], ["key", "x", "y", "a", "b", "f", "g"])
-        for here in crowds:
-            key, same, root, f, g = (pa.array(c[here]) for c in part[:5])
-            none = pa.nulls(len(here), pa.int64())
-            yield pa.RecordBatch.from_arrays([key, same, none, root, none, f, g], ["key", "x", "y", "a", "b", "f", "g"])
+        for new, old in crowds:
+            key, same, root, f, g = (pa.array(c[new]) for c in part[:5])
+            none = pa.nulls(len(new), pa.int64())
+            yield pa.RecordBatch.from_arrays([key, same, none, root, pa.array(old.repeat(len(new))) if len(old) else none, f, g], ["key", "x", "y", "a", "b", "f", "g"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -357,41 +362,40 @@ def similar(sets: DataFrame, count: int, texts_of: Callable[[DataFrame], DataFra
 
     Multi-index hashing of wide fingerprints: sets that share a segment, are near by their first bits and may reach SIMILAR by their
     sizes and odd bits are candidates, and the sets themselves decide. The segments come in turns, and what a turn links is one group in the next. Crowds, such as copies of one text
-    that differ from it by just under the limit and from each other by more, would make pairs in the square of their number; where
-    they are still apart after the last turn they meet by :func:`_prefixes` instead. Only the texts of candidates, for which
+    that differ from it by just under the limit and from each other by more, would make pairs in the square of their number; the sets of
+    those that are still apart after their turn meet each other by :func:`_prefixes` at the end instead, which no link escapes. Only the texts of candidates, for which
     ``texts_of`` is asked, travel and are written.
     """
     spark = sets.sparkSession
     picks, numbers = wide_segments(count)
     ends = [numbers[-1][1] * part // sum(TURNS) for part in accumulate(TURNS[:-1])] + [len(picks)]
-    near, crowds = saved(sets.select("same", F.col("same").alias("root")), "roots"), []
+    near = saved(sets.select("same", F.col("same").alias("root"), F.lit(False).alias("crowded")), "roots")
 
-    def linked_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        found = components(_verified(pairs, texts, width))
-        out = saved(_renamed(near, found), "roots")
-        for table in (found, near):
+    def replaced(tables: list[DataFrame], out: DataFrame) -> DataFrame:
+        out = saved(out, "roots")
+        for table in tables:
             discard(table)
         settle(spark)
         return out
 
+    def linked_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        found = components(_verified(pairs, texts, width))
+        return replaced([found, near], _renamed(near, found))
+
     for first, last in zip([0, *ends], ends, strict=False):
         met = saved(_met(_segment_keys(sets.join(near, "same"), picks, numbers, first, last)), "met")
         settle(spark)
-        crowds.append(met)
-        pairs = met.where("key IS NULL").select("x", "y", "a", "b").distinct()
-        if pairs.isEmpty():
-            continue
-        texts = saved(texts_of(_ids(pairs)).dropDuplicates(["same"]), "texts-of-pairs")
-        near = linked_by(pairs, texts)
-        discard(texts)
-    rows = reduce(DataFrame.unionByName, [c.where("key IS NOT NULL").select("key", F.col("x").alias("same"), "f", "g") for c in crowds])
-    met = saved(_met(rows.join(near, "same").join(sets.select("same", *_bounds()), "same").select("key", "same", "root", "f", "g", "n", *[f"o{k}" for k in range(ODD_WORDS)])), "met")
-    for table in crowds:
-        discard(table)
-    pairs = met.where("key IS NULL").select("x", "y", "a", "b").distinct()
-    crowded = met.where("key IS NOT NULL").select(F.col("x").alias("same"), F.col("a").alias("root")).distinct()
-    if not met.isEmpty():
-        texts = saved(texts_of(_ids(pairs).unionByName(crowded.select("same")).distinct()).dropDuplicates(["same"]), "texts-of-crowds")
+        pairs, rows = met.where("key IS NULL").select("x", "y", "a", "b").distinct(), met.where("key IS NOT NULL")
+        if not pairs.isEmpty():
+            texts = saved(texts_of(_ids(pairs)).dropDuplicates(["same"]), "texts-of-pairs")
+            near = linked_by(pairs, texts)
+            discard(texts)
+        if not rows.isEmpty():
+            near = replaced([near], _with_crowds(near, rows.select("key", F.col("x").alias("same"), "b")))
+        discard(met)
+    crowded = near.where("crowded").select("same", "root")
+    if not crowded.isEmpty():
+        texts = saved(texts_of(crowded.select("same")).dropDuplicates(["same"]), "texts-of-crowds")
         prefixes = _prefixes(sets.select("same", "n").join(crowded, "same"), texts, width)
         # Two sets that reach SIMILAR share so many of their shingles; what they share is the first of those and at most what is left of either after it.
         fits = F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m") - F.lit(1e-9)
@@ -399,13 +403,20 @@ def similar(sets: DataFrame, count: int, texts_of: Callable[[DataFrame], DataFra
         enough = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= share
         differ = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(ODD_BITS // 64)), F.lit(0))
         close = differ <= F.col("n") + F.col("m") - 2 * share
-        pairs = saved(pairs.unionByName(_meeting(prefixes, fits & enough & close)).distinct(), "pairs")
+        pairs = saved(_meeting(prefixes, fits & enough & close), "pairs")
         near = linked_by(pairs, texts)
         for table in (prefixes, pairs, texts):
             discard(table)
-    discard(met)
     settle(spark)
-    return near
+    return near.select("same", "root")
+
+
+def _with_crowds(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """``near(same, root, crowded)`` with those sets of ``rows(key, same, b)`` crowded whose crowd is still of more than one group, counting ``b``, a set that was crowded before."""
+    rows = rows.join(near.select("same", "root"), "same")
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("b").alias("b")).where("low < high OR b IS NOT NULL")
+    new = rows.join(apart.select("key"), "key", "left_semi").select("same", F.lit(True).alias("new")).distinct()
+    return near.join(new, "same", "left").select("same", "root", (F.col("crowded") | F.col("new").isNotNull()).alias("crowded"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -413,18 +424,22 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _meeting(rows: DataFrame, fits: Column) -> DataFrame:
-    """``x, y, a, b``: the sets of ``rows(key, same, n, root, at, odd)`` that share a key and fit, of different roots, with the roots."""
-    left = rows.select("key", F.col("same").alias("x"), "n", F.col("root").alias("a"), F.col("at").alias("i"), "odd")
-    right = rows.select("key", F.col("same").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"), F.col("at").alias("j"), F.col("odd").alias("other"))
-    return left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & fits).select("x", "y", "a", "b").distinct()
+    """``x, y, a, b``: the sets of ``rows(key, same, n, root, at, odd, main)`` that share a key and fit, of different roots, with the roots. The sets of a key's largest group don't ask for each other."""
+    left = rows.select("key", F.col("same").alias("x"), "n", F.col("root").alias("a"), F.col("at").alias("i"), "odd", "main")
+    right = rows.select("key", F.col("same").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"), F.col("at").alias("j"), F.col("odd").alias("other"), "main")
+    once = (F.col("x") < F.col("y")) | (F.col("b") == F.col("main"))
+    met = left.where("a <> main").drop("main").join(right, "key").where((F.col("a") != F.col("b")) & once & fits)
+    swap = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def _prefixes(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``key, same, n, root, at, odd``: the rarest shingles, and their places, of ``sets(same, n, root)``, as many as two sets that reach SIMILAR can't both lack.
+    """``key, same, n, root, at, odd, main``: the rarest shingles, and their places, of ``sets(same, n, root)``, as many as two sets that reach SIMILAR can't both lack.
 
-    If each set lists its shingles with the rarest first, such sets share one of the first n - ceil(SIMILAR n) + 1 (Chaudhuri
-    et al. 2006), so no link is lost. Shingles that only one set has come first and meet nothing: a set with a fifth of its own
-    has no row at all.
+    If each set lists its shingles in one order, such sets share one of the first n - ceil(SIMILAR n) + 1 (Chaudhuri et al.
+    2006), so no link is lost, whatever the order is. Here the rarest come first, by how often they occur in one of ORDER_SHARE sets: of these only the
+    ORDER_KEYS most frequent are told apart, all others are taken as rare. So the counts, which only save comparisons, stay few, and of all sets only the first shingles
+    become rows. Shingles that only one group has meet nothing and have no row; main is the group with most sets of a shingle.
     """
 
     @F.pandas_udf("keys array<bigint>, odd array<bigint>")
@@ -433,16 +448,29 @@ def _prefixes(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             found = [shingle_set(t, width) for t in part]
             yield pd.DataFrame({"keys": [s.view(np.int64) for s in found], "odd": [odd_bits(s) for s in found]})
 
-    made = saved(sets.join(texts, "same").select("same", shingles("text").alias("s")).select("same", "s.*"), "shingles")
-    of = made.select("same", F.explode("keys").alias("key"))
-    often = of.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    rows = of.join(often, "key").withColumn("shared", F.count("*").over(Window.partitionBy("same"))).join(sets, "same")
-    own = F.col("n") - F.col("shared")
-    first = F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - F.lit(1e-9)) + 1
-    rarest = F.row_number().over(Window.partitionBy("same").orderBy("c", "key"))
-    rows = rows.where(own < first).withColumn("at", own + rarest).where(F.col("at") <= first)
-    rows = saved(rows.join(made.select("same", "odd"), "same").select("key", "same", "n", "root", "at", "odd"), "prefixes")
-    discard(made)
+    made = saved(sets.join(texts, "same").select("same", "n", "root", shingles("text").alias("s")).select("same", "n", "root", "s.*"), "shingles")
+    some = made.where(F.pmod(F.xxhash64("same"), F.lit(ORDER_SHARE)) == 0).select(F.explode("keys").alias("key"))
+    often = some.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "key").limit(ORDER_KEYS).toArrow().sort_by("key")
+    often, counts = (often[c].to_numpy() for c in ("key", "c"))
+
+    @F.pandas_udf("array<bigint>")
+    def first(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = []
+            for keys in part:
+                at = np.searchsorted(often, keys)
+                known = at < len(often)
+                known[known] = often[at[known]] == keys[known]
+                c = np.zeros(len(keys), np.int64)
+                c[known] = counts[at[known]]
+                out.append(keys[np.lexsort((keys, c))[: len(keys) - math.ceil(SIMILAR * len(keys) - 1e-9) + 1]])
+            yield pd.Series(out, dtype=object)
+
+    ranked = saved(made.select("same", "n", "root", F.posexplode(first("keys")).alias("at", "key")).withColumn("at", F.col("at") + 1), "ranked")
+    main = ranked.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    rows = saved(ranked.join(main.select("key", "main"), "key").join(made.select("same", "odd"), "same").select("key", "same", "n", "root", "at", "odd", "main"), "prefixes")
+    for table in (made, ranked):
+        discard(table)
     return rows
 
 
@@ -457,7 +485,7 @@ def folded(odd: np.ndarray) -> np.ndarray:
 
 
 def _renamed(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    return nodes.join(found.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("same", F.coalesce("new", "root").alias("root"))
+    return nodes.join(found.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("same", F.coalesce("new", "root").alias("root"), "crowded")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
