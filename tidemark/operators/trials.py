@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.drift import ALPHA, PSI_LIMIT, category_counts, category_key, ks_p_value, numeric_counts, psi
 from tidemark.operators.running import cumulative
-from tidemark.scratch import saved
+from tidemark.scratch import discard, saved
 
 CASE = ["trial", "size", "severity", "share"]
 
+#: A draw's bound on hashes leaves so many standard deviations more rows than are wanted; where that was too few, it grows by GROW.
+MARGIN, GROW = 6, 8
+
 
 def hash_order(key: Column, seed: Column) -> Column:
     """A repeatable shuffle: sorts alike under every partitioning, and in other engines."""
@@ -30,17 +34,28 @@ def shifted(df: DataFrame, column: str, severity: float) -> DataFrame:
     return df.crossJoin(F.broadcast(sd)).withColumn(column, F.col(column) + F.lit(float(severity)) * F.coalesce("__sd", F.lit(0.0))).drop("__sd")
 
 
-def _drawn(pool: DataFrame, key: str, size: int, trials: int, first: int) -> DataFrame:
-    """``pool`` with ``trial`` and ``r``: for each trial the first ``size`` rows in the hash order of its seed."""
-    rows = pool.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))).alias("trial"))
-    order = Window.partitionBy("trial").orderBy(hash_order(F.col(key), F.col("trial")), key)
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
-
+def draw(pool: DataFrame, key: str, size: int, trials: int, first: int = 1) -> DataFrame:
+    """``pool`` with ``trial`` and ``r``: for each trial the first ``size`` rows in the hash order of its seed, written once.
 
-def run_categories(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, size: int, trials: int, limit: float = PSI_LIMIT, first: int = 1) -> DataFrame:
+    Hashes spread evenly, so the number of rows gives a bound that the first ``size`` lie below; the others go before anything is sorted
+    or sent. Where a trial finds too few (keys that repeat share a hash), all are drawn again below a larger bound, up to none.
+    """
+    rows = pool.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))).alias("trial")).withColumn("__hash", hash_order(F.col(key), F.col("trial")))
+    order = Window.partitionBy("trial").orderBy("__hash", key)
+    share = (size + MARGIN * math.sqrt(size) + MARGIN**2) / max(pool.count(), 1)
+    while True:
+        near = rows.where(F.col("__hash") < F.lit(f"{int(share * 2**52):013x}")) if share < 1 else rows
+        found = saved(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size).drop("__hash"), "drawn")
+        if share >= 1 or found.where(F.col("r") == size).count() == trials:
+            return found
+        discard(found)
+        share *= GROW
+
+
+def run_categories(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, size: int, trials: int, limit: float = PSI_LIMIT, first: int = 1, batches: DataFrame | None = None) -> DataFrame:
     """``feature, trial, statistic, drift_detected`` by the stability index of batches of ``size`` rows, drawn as in :func:`run`."""
     side = df.withColumn("__ref", is_reference)
-    drawn = _drawn(side.where("NOT __ref").select(key, *features), key, size, trials, first)
+    drawn = draw(side.where("NOT __ref").select(key, *features), key, size, trials, first) if batches is None else batches
     kinds = dict(df.dtypes)
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), category_key(F.col(f), kinds[f]).alias("v")) for f in features]))
     batch = drawn.select("trial", pairs.alias("p")).select("trial", "p.*").where("v IS NOT NULL").groupBy("trial", "feature", "v").agg(F.count("*").alias("n_prod"))
@@ -49,15 +64,15 @@ def run_categories(df: DataFrame, key: str, features: Sequence[str], is_referenc
     return psi(both, limit, group=["trial", "feature"]).select("feature", "trial", "statistic", "drift_detected")
 
 
-def run(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, cases: Sequence[tuple[int, float, float]], trials: int, alpha: float = ALPHA, first: int = 1) -> DataFrame:
+def run(df: DataFrame, key: str, features: Sequence[str], is_reference: Column, cases: Sequence[tuple[int, float, float]], trials: int, alpha: float = ALPHA, first: int = 1, batches: DataFrame | None = None) -> DataFrame:
     """``feature, trial, size, severity, share, statistic, p_value, drift_detected`` for each trial and case.
 
     A case is (batch size, shift in standard deviations of the batch, share of the batch that is shifted). Trial t, from ``first`` on,
-    takes the first rows in the hash order of seed t; the rank is cut before the shuffle. The largest gap is reached at a value of the
-    batch or just before one, so the reference is read and summed once, and each test looks up its own values.
+    takes the first rows in the hash order of seed t; ``batches`` has them where :func:`draw` has drawn them already. The largest gap is
+    reached at a value of the batch or just before one, so the reference is read and summed once, and each test looks up its own values.
     """
     side = df.withColumn("__ref", is_reference)
-    drawn = _drawn(side.where("NOT __ref").select(key, *features), key, max(c[0] for c in cases), trials, first)
+    drawn = draw(side.where("NOT __ref").select(key, *features), key, max(c[0] for c in cases), trials, first) if batches is None else batches
     every = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(float(s)).alias("severity"), F.lit(float(p)).alias("share")) for n, s, p in cases])
     rows = drawn.select("*", F.explode(every).alias("c")).select("*", "c.*").where("r <= size")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
