@@ -2,10 +2,13 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators import trials
+from tidemark.plans import studies
 
 
 def first_keys(keys, size, trial):
@@ -41,3 +44,21 @@ def test_rows_beyond_a_batch_are_not_sent(spark):
     sent = sum(n for k, n in shuffled_rows(spark).items() if k not in before)
     assert len(found) == 8
     assert sent < 60_000  # 8 trials of 2,000 rows; each trial sent all 59,000 before
+
+
+@pytest.mark.parametrize("name", ["val3_confusion"])
+def test_studies_of_batches_far_smaller_than_the_table(spark, tmp_path, monkeypatch, name):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE lineitem AS SELECT * REPLACE (row_number() OVER () AS l_orderkey) FROM '/root/testdata/sf0.01/lineitem.parquet'")  # no key twice
+    db.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    monkeypatch.setattr(studies, "SIZE", 1_500)
+    monkeypatch.setattr(studies, "TRIALS", 6)
+    sql = entry.oracle_sql()[name].replace("r <= 25000", "r <= 1500").replace("range(1, 16)", "range(1, 7)")
+    result = db.execute(sql)
+    names = [c[0] for c in result.description]
+    plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    before = shuffled_rows(spark)
+    got = [plain(r[c] for c in names) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+    sent = sum(n for k, n in shuffled_rows(spark).items() if k not in before)
+    assert sorted(got, key=repr) == sorted(map(plain, result.fetchall()), key=repr)
+    assert sent < 500_000  # 1,041,962 before rows beyond the batches went first
