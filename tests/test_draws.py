@@ -46,7 +46,7 @@ def test_rows_beyond_a_batch_are_not_sent(spark):
     assert sent < 60_000  # 8 trials of 2,000 rows; each trial sent all 59,000 before
 
 
-@pytest.mark.parametrize("name", ["val3_confusion"])
+@pytest.mark.parametrize("name", ["val3_confusion", "val3_whole_study"])
 def test_studies_of_batches_far_smaller_than_the_table(spark, tmp_path, monkeypatch, name):
     db = duckdb.connect()
     db.execute("CREATE TABLE lineitem AS SELECT * REPLACE (row_number() OVER () AS l_orderkey) FROM '/root/testdata/sf0.01/lineitem.parquet'")  # no key twice
